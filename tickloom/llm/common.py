@@ -41,6 +41,12 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def batches(df: DataFrame, megabytes: int = 8) -> DataFrame:
+    """df as it is; from now on the session's Arrow batches hold so many megabytes at most, so that long rows can't fill a worker."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
+    return df
+
+
 def texts(df: DataFrame, *more: str) -> DataFrame:
     """doc_id, text (null: empty) and the columns named in more; every other column is left out, whatever its name."""
     return df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)

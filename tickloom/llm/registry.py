@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality
+from . import media, mixing, packing, quality, secrets, warc
 
 QUERIES = {
     "op3_quality_rules": quality.op3_quality_rules,
     "op6_mix_sources": mixing.op6_mix_sources,
+    "op7_warc": warc.op7_warc,
+    "op8_media": media.op8_media,
+    "op9_secrets": secrets.op9_secrets,
     "op10_length_buckets": packing.op10_length_buckets,
 }
-ORACLE_SQL = {"op3_quality_rules": quality.ORACLE_SQL, "op6_mix_sources": mixing.ORACLE_SQL}
+ORACLE_SQL = {"op3_quality_rules": quality.ORACLE_SQL, "op6_mix_sources": mixing.ORACLE_SQL, "op7_warc": warc.ORACLE_SQL}
