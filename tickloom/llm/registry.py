@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from . import media, mixing, packing, quality, secrets, warc
+from . import media, minhash, mixing, packing, quality, secrets, warc
 
 QUERIES = {
     "op3_quality_rules": quality.op3_quality_rules,
+    "op4_minhash": minhash.op4_minhash,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op7_warc": warc.op7_warc,
     "op8_media": media.op8_media,
     "op9_secrets": secrets.op9_secrets,
     "op10_length_buckets": packing.op10_length_buckets,
 }
-ORACLE_SQL = {"op3_quality_rules": quality.ORACLE_SQL, "op6_mix_sources": mixing.ORACLE_SQL, "op7_warc": warc.ORACLE_SQL}
+ORACLE_SQL = {"op3_quality_rules": quality.ORACLE_SQL, "op4_minhash": minhash.ORACLE_SQL, "op6_mix_sources": mixing.ORACLE_SQL, "op7_warc": warc.ORACLE_SQL}
