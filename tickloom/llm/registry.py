@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import media, minhash, mixing, packing, quality, secrets, warc
+from . import media, minhash, mixing, packing, pii, quality, secrets, warc
 
 QUERIES = {
+    "op2_pii": pii.op2_pii,
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_minhash": minhash.op4_minhash,
     "op6_mix_sources": mixing.op6_mix_sources,
