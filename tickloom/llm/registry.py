@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import media, minhash, mixing, packing, pii, quality, secrets, warc
+from . import lm, media, minhash, mixing, packing, pii, quality, secrets, warc
 
 QUERIES = {
+    "op1_lm_score": lm.op1_lm_score,
     "op2_pii": pii.op2_pii,
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_minhash": minhash.op4_minhash,
