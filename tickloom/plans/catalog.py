@@ -1,4 +1,496 @@
-"""The reference operators' queries and their SQL."""
+"""The reference operators' queries and their SQL.
 
+Most run over daily candles of a walk over orders. Doubles that come from sums or products are rounded to six places on
+both sides (floor(x * 1e6 + 0.5) / 1e6).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tickloom.operators import backtest, evaluate, grid, indicators, reports, scoring, select, walkforward
+from tickloom.sources import candles as C
+from tickloom.sources import store
+
+from . import oracle as O
+from .oracle import FEE, MIN_TRADES, SLIP, query
+
+KEYS = ["atr_period", "mult_e4", "mode"]
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def register(sql: str | None = None, name: str | None = None):
+    def add(f):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLE_SQL[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, *keep: str) -> DataFrame:
+    return df.select(*((F.floor(F.col(c) * 1e6 + 0.5) / 1e6).alias(c) if t == "double" and c not in keep else F.col(c) for c, t in df.dtypes))
+
+
+def _grid(spark: SparkSession, candles: DataFrame, periods, mults, modes=("BOTH",)) -> DataFrame:
+    return grid.product(spark, periods, mults, modes).crossJoin(F.broadcast(candles.select("symbol", "tf").distinct()))
+
+
+def _one(spark: SparkSession, sf_dir: str, mode: str = "BOTH"):
+    bars = C.orders_daily(spark, sf_dir)
+    g = _grid(spark, bars, [14], [25000], [mode])
+    runs = backtest.with_mode(indicators.trend_runs(bars, g), g)
+    return bars, runs
+
+
+def _trades(spark: SparkSession, sf_dir: str, mode: str = "BOTH") -> DataFrame:
+    bars, runs = _one(spark, sf_dir, mode)
+    return backtest.trades(runs, walkforward.whole_range(bars), bars, KEYS, FEE, SLIP)
+
+
+def swept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The small sweep that the report queries share, in the flat result form."""
+    bars = C.orders_daily(spark, sf_dir)
+    g = _grid(spark, bars, O.PERIODS, O.MULTS, O.MODES)
+    runs = backtest.with_mode(indicators.trend_runs(bars, g), g)
+    df = evaluate.evaluate(runs, g, KEYS, walkforward.segments(bars, MIN_TRADES), bars, FEE, SLIP, MIN_TRADES, "atr_period")
+    return df.withColumns({"strategy_type": F.lit("BASE"), "stage": F.lit("coarse")})
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metrics of one setting over the whole range, in its three modes."""
+    bars = C.orders_daily(spark, sf_dir)
+    g = _grid(spark, bars, [14], [25000], O.MODES)
+    runs = backtest.with_mode(indicators.trend_runs(bars, g), g)
+    return backtest.metrics(backtest.trades(runs, walkforward.whole_range(bars), bars, KEYS, FEE, SLIP), KEYS)
+
+
+# --- candles ---
+
+
+@register(query(O.ORDERS, "SELECT * FROM bars"))
+def candles_daily_orders(spark, d):
+    return C.orders_daily(spark, d)
+
+
+@register(query(O.EVENTS, "SELECT * FROM bars"))
+def candles_hourly_events(spark, d):
+    return C.events_hourly(spark, d)
+
+
+@register(query(O.ORDERS, """SELECT symbol, tf, count(*) AS n_rows, min(timestamp) AS first_ts, max(timestamp) AS last_ts, count(*) - count(DISTINCT timestamp) AS duplicate_timestamps, count(*) FILTER (step <= 0) AS non_monotonic_steps, count(*) FILTER (step > 86400000) AS gap_events,
+  coalesce(sum(greatest(step // 86400000 - 1, 0)) FILTER (step > 86400000), 0)::BIGINT AS missing_candles, count(*) FILTER (high < greatest(open, close, low) OR low > least(open, close, high)) AS invalid_ohlc_rows, count(*) FILTER (least(open, high, low, close) <= 0) AS nonpositive_rows
+FROM (SELECT *, timestamp - lag(timestamp) OVER (ORDER BY idx) AS step FROM bars) GROUP BY symbol, tf"""))
+def candle_quality(spark, d):
+    return C.quality(C.orders_daily(spark, d))
+
+
+@register(query(O.ORDERS, "SELECT symbol, tf, idx, timestamp, gap_ms, greatest(gap_ms // 86400000 - 1, 0)::BIGINT AS missing FROM (SELECT *, timestamp - lag(timestamp) OVER (ORDER BY idx) AS gap_ms FROM bars) WHERE gap_ms > 86400000"))
+def candle_gaps(spark, d):
+    return C.gaps(C.orders_daily(spark, d))
+
+
+@register(query(O.ORDERS, """SELECT symbol, tf, idx, timestamp, open, high, low, close, volume, turnover FROM (SELECT symbol, tf, (row_number() OVER (ORDER BY timestamp) - 1)::BIGINT AS idx, timestamp, open, high, low, close, volume, 0.0::DOUBLE AS turnover FROM bars WHERE timestamp % 5 <> 1)"""))
+def candles_cleaned(spark, d):
+    """The cleaning of text candles that come in reverse, twice, with bad rows and without turnover."""
+    bars = C.orders_daily(spark, d)
+    text = bars.select(*(F.col(c).cast("string").alias(c) for c in ("timestamp", "open", "high", "low", "close", "volume")), (-F.col("idx")).alias("arrival"))
+    late = text.withColumns({"close": F.lit("1.0"), "arrival": F.col("arrival") + 1_000_000})
+    bad = text.limit(20).withColumns({"open": F.lit("n/a"), "timestamp": F.lit("7")})
+    return C.clean(text.unionByName(late).unionByName(bad), "arrival", "ORDERS", 1440)
+
+
+@register(query(f"{O.ORDERS}, files(path, modified, gap) AS (VALUES ('a', 1, 0), ('b', 3, 400), ('c', 2, 0), ('d', 4, 2000))", "SELECT path, modified FROM files, (SELECT count(*) AS n FROM bars) WHERE gap < n * 0.01 ORDER BY modified DESC LIMIT 1"))
+def cache_lookup(spark, d):
+    bars = C.orders_daily(spark, d).agg(F.min("timestamp").alias("a"), F.max("timestamp").alias("b"), F.count("*").alias("n"))
+    files = spark.sql("SELECT * FROM VALUES ('a', 1, 0), ('b', 3, 400), ('c', 2, 0), ('d', 4, 2000) AS t(path, modified, gap)")
+    a, b, _ = bars.first()
+    catalog = files.select("path", "modified", F.lit("ORDERS").alias("symbol"), F.lit(1440).alias("tf"), (F.lit(a) + F.col("gap").cast("long") * F.lit(C.DAY_MS)).alias("first_ts"), F.lit(b).alias("last_ts"))
+    return C.find_reusable(catalog, "ORDERS", 1440, a, b).select("path", "modified")
+
+
+# --- indicators ---
+
+
+@register(query(f"{O.ORDERS}, {O.TR}", "SELECT 'ORDERS' AS symbol, 1440 AS tf, idx, tr FROM tr"))
+def true_range(spark, d):
+    return indicators.true_range(C.orders_daily(spark, d))
+
+
+@register(query(f"{O.ORDERS}, {O.TR}", "SELECT 'ORDERS' AS symbol, 1440 AS tf, idx, CASE WHEN h - ph > pl - l AND h - ph > 0 THEN h - ph ELSE 0 END AS plus_dm, CASE WHEN pl - l > h - ph AND pl - l > 0 THEN pl - l ELSE 0 END AS minus_dm FROM tr"))
+def directional_movement(spark, d):
+    return indicators.directional_movement(C.orders_daily(spark, d))
+
+
+@register(query(f"{O.ORDERS}, {O.TR}, {O.trend(O.ONE)}", "SELECT 'ORDERS' AS symbol, 1440 AS tf, i AS idx, atr FROM st"))
+def atr_wilder(spark, d):
+    return indicators.atr(C.orders_daily(spark, d), 14)
+
+
+@register(query(f"{O.ORDERS}, {O.TR}, {O.ema(21, 'ef')}", "SELECT 'ORDERS' AS symbol, 1440 AS tf, i AS idx, v AS ema FROM ef"))
+def ema_series(spark, d):
+    return indicators.ema(C.orders_daily(spark, d), 21)
+
+
+@register(query(f"{O.ORDERS}, {O.TR}, {O.adx(14)}", f"SELECT 'ORDERS' AS symbol, 1440 AS tf, i AS idx, {O.r('v', 'adx')} FROM ax"))
+def adx_series(spark, d):
+    return rounded(indicators.adx(C.orders_daily(spark, d), 14))
+
+
+@register(query(f"{O.ORDERS}, {O.TR}, {O.trend(O.ONE)}", "SELECT 'ORDERS' AS symbol, 1440 AS tf, i AS idx, t AS trend FROM st"))
+def supertrend_trend(spark, d):
+    return indicators.band_line(C.orders_daily(spark, d), 14, 2.5).drop("line")
+
+
+@register(query(f"{O.ORDERS}, {O.TR}, {O.trend(O.ONE)}", "SELECT 'ORDERS' AS symbol, 1440 AS tf, i AS idx, t AS trend, CASE WHEN t > 0 THEN lo WHEN t < 0 THEN u END AS line FROM st"))
+def supertrend_line(spark, d):
+    return indicators.band_line(C.orders_daily(spark, d), 14, 2.5)
+
+
+_V1 = "v1 AS (SELECT idx, CASE WHEN past > 0 THEN (close / past - 1.0::DOUBLE) * 100.0::DOUBLE WHEN past IS NULL THEN NULL ELSE 0 END AS ch FROM (SELECT idx, close, lag(close, 10) OVER (ORDER BY idx) AS past FROM bars)), regime AS (SELECT idx, CASE WHEN ch >= 1.0 THEN 1 WHEN ch <= -1.0 THEN -1 ELSE 0 END AS regime FROM v1)"
+
+
+@register(query(f"{O.ORDERS}, {_V1}", "SELECT 'ORDERS' AS symbol, 1440 AS tf, idx, regime FROM regime"))
+def regime_v1(spark, d):
+    return indicators.regime_v1(C.orders_daily(spark, d), 240, 1.0)
+
+
+@register(query(f"{O.ORDERS}, {O.TR}, {O.regime_v2()}", "SELECT 'ORDERS' AS symbol, 1440 AS tf, idx, regime FROM regime"))
+def regime_v2(spark, d):
+    return indicators.regime_v2(C.orders_daily(spark, d), O.REGIME)
+
+
+_PARTS = "parts AS (SELECT 'SELECTION' AS part, research_start AS a, greatest(research_start, validation_start - 1) AS b FROM plan UNION ALL SELECT 'VALIDATION', validation_start, greatest(validation_start, holdout_start - 1) FROM plan UNION ALL SELECT 'HOLDOUT', holdout_start, n - 1 FROM plan)"
+
+
+@register(query(f"{O.ORDERS}, {O.TR}, {O.regime_v2()}, {O.PLAN}, {_PARTS}", f"SELECT 'ORDERS' AS symbol, 1440 AS tf, part, {O.r('avg(CASE WHEN regime = 1 THEN 1.0::DOUBLE ELSE 0 END)', 'up_ratio')}, {O.r('avg(CASE WHEN regime = -1 THEN 1.0::DOUBLE ELSE 0 END)', 'down_ratio')}, {O.r('avg(CASE WHEN regime = 0 THEN 1.0::DOUBLE ELSE 0 END)', 'flat_ratio')}, coalesce(sum(c), 0)::BIGINT AS switches FROM (SELECT *, CASE WHEN regime <> lag(regime) OVER (PARTITION BY part ORDER BY idx) THEN 1 ELSE 0 END AS c FROM regime JOIN parts ON idx BETWEEN a AND b) GROUP BY part"))
+def regime_mix(spark, d):
+    bars = C.orders_daily(spark, d)
+    return rounded(reports.regime_mix(indicators.regime_v2(bars, O.REGIME), walkforward.plan(bars)))
+
+
+@register(query(f"{O.ORDERS}, {O.TR}, {O.regime_v2()}", "SELECT 'ORDERS' AS symbol, 1440 AS tf, idx, timestamp, close, CASE regime WHEN 1 THEN 'UP' WHEN -1 THEN 'DOWN' ELSE 'FLAT' END AS state FROM bars JOIN regime USING (idx), size WHERE idx % greatest(1, n // 400) = 0"))
+def regime_samples(spark, d):
+    bars = C.orders_daily(spark, d)
+    return reports.regime_samples(bars, indicators.regime_v2(bars, O.REGIME))
+
+
+# --- runs, trades, metrics ---
+
+_SIG = "sig AS (SELECT p AS atr_period, m AS mult_e4, i, t FROM st)"
+_RUNS = f"{O.ORDERS}, {O.TR}, {O.trend(O.ONE)}, {_SIG}, {O.runs('sig', 'atr_period, mult_e4', 't', 'i')}"
+
+
+@register(query(_RUNS, "SELECT 'ORDERS' AS symbol, 1440 AS tf, atr_period, mult_e4::BIGINT AS mult_e4, first_idx, last_idx, side FROM runs"))
+def signal_runs(spark, d):
+    bars = C.orders_daily(spark, d)
+    return indicators.trend_runs(bars, _grid(spark, bars, [14], [25000]))
+
+
+@register(query(_RUNS, "SELECT 'ORDERS' AS symbol, 1440 AS tf, first_idx, last_idx, side FROM runs"))
+def signal_runs_relational(spark, d):
+    """The same runs, from a column of signals by windows (gaps and islands)."""
+    return indicators.runs_of(indicators.band_line(C.orders_daily(spark, d), 14, 2.5), "trend")
+
+
+def _base(modes) -> str:
+    return f"{_RUNS}, {O.moded(modes)}, {O.FULL}, {O.trades(O.BASE_KEYS)}"
+
+
+for _mode in O.MODES:
+    register(query(_base([_mode]), "SELECT 'ORDERS' AS symbol, 1440 AS tf, atr_period, mult_e4::BIGINT AS mult_e4, mode, segment_id, side, entry_idx, exit_idx, entry_ts, exit_ts, entry_price, exit_price, gross, net, month FROM trades"), f"trades_base_{_mode.lower()}")(lambda spark, d, mode=_mode: _trades(spark, d, mode))
+
+
+@register(query(f"{_base(['BOTH'])}, {O.equity(O.BASE_KEYS)}", f"SELECT trade_no, side, {O.r('equity')}, {O.r('peak')}, {O.r('equity / peak - 1', 'drawdown')} FROM eq"))
+def equity_curve(spark, d):
+    return rounded(backtest.equity(_trades(spark, d), KEYS).select("trade_no", "side", "equity", "peak", "drawdown"))
+
+
+_ALL = ", ".join(O.r(c) if c not in O.COUNTS else c for c in O.METRICS)
+_WANT = "SELECT DISTINCT atr_period, mult_e4, mode, 'FULL' AS segment_id, 1 AS min_trades FROM set_runs"
+
+
+@register(query(f"{_base(O.MODES)}, {O.metrics(O.BASE_KEYS, _WANT)}", f"SELECT 'ORDERS' AS symbol, 1440 AS tf, atr_period, mult_e4::BIGINT AS mult_e4, mode, segment_id, {_ALL} FROM met"))
+def metrics_full(spark, d):
+    return rounded(flagship(spark, d))
+
+
+@register(query(_base(["BOTH"]), f"SELECT side, count(*) AS trades, {O.r('(product(1 + net) - 1) * 100', 'return_pct')}, {O.r('avg(net) * 100', 'avg_pct')}, {O.r('median(net) * 100', 'median_pct')} FROM trades GROUP BY side"))
+def metrics_by_side(spark, d):
+    return rounded(_trades(spark, d).groupBy("side").agg(F.count("*").alias("trades"), ((F.product(1 + F.col("net")) - 1) * 100).alias("return_pct"), (F.avg("net") * 100).alias("avg_pct"), (F.median("net") * 100).alias("median_pct")))
+
+
+@register(query(_base(["BOTH"]), f"SELECT month, count(*) AS trades, {O.r('(product(1 + net) - 1) * 100', 'return_pct')} FROM trades GROUP BY month"))
+def metrics_monthly(spark, d):
+    return rounded(_trades(spark, d).groupBy("month").agg(F.count("*").alias("trades"), ((F.product(1 + F.col("net")) - 1) * 100).alias("return_pct")))
+
+
+# --- walk-forward ---
+
+
+@register(query(f"{O.ORDERS}, {O.PLAN}", "SELECT 'ORDERS' AS symbol, 1440 AS tf, n, total_days, holdout_days, warmup_days, windows, research_start, selection_end, validation_start, holdout_start FROM plan"))
+def walk_forward_plan(spark, d):
+    return walkforward.plan(C.orders_daily(spark, d))
+
+
+@register(query(f"{O.ORDERS}, {O.PLAN}", "SELECT 'ORDERS' AS symbol, 1440 AS tf, window_no, a, b, bench_pct, regime, phase FROM wins"))
+def walk_forward_windows(spark, d):
+    return walkforward.windows(C.orders_daily(spark, d))
+
+
+@register(query(f"{O.ORDERS}, {O.PLAN}, {O.SEGS}", "SELECT 'ORDERS' AS symbol, 1440 AS tf, segment_id, phase, start_idx, end_idx, raised, min_trades, regime, bench_pct FROM segs"))
+def walk_forward_segments(spark, d):
+    return walkforward.segments(C.orders_daily(spark, d), MIN_TRADES)
+
+
+_SEGMENTED = f"{_RUNS}, {O.moded(['BOTH'])}, {O.PLAN}, {O.SEGS}, {O.trades(O.BASE_KEYS, 'atr_period')}"
+_WINDOWED = f"{_SEGMENTED}, wr AS (SELECT segment_id, phase, regime, coalesce(ret, 0) AS return_pct FROM segs LEFT JOIN (SELECT segment_id, (product(1 + net) - 1) * 100 AS ret FROM trades GROUP BY segment_id) USING (segment_id) WHERE phase LIKE '%WINDOW')"
+
+
+def _window_returns(spark, d):
+    bars, runs = _one(spark, d)
+    segs = walkforward.segments(bars, MIN_TRADES)
+    made = backtest.trades(runs, segs, bars, KEYS, FEE, SLIP, "atr_period")
+    wanted = _grid(spark, bars, [14], [25000]).join(segs.where("phase like '%WINDOW'").select("symbol", "tf", "segment_id"), ["symbol", "tf"])
+    return backtest.returns(made, KEYS, wanted).join(segs.select("symbol", "tf", "segment_id", "phase", "regime"), ["symbol", "tf", "segment_id"])
+
+
+@register(query(_WINDOWED, f"SELECT segment_id, phase, regime, {O.r('return_pct')} FROM wr"))
+def window_returns(spark, d):
+    return rounded(_window_returns(spark, d).select("segment_id", "phase", "regime", "return_pct"))
+
+
+_STATS = f"count(*) AS windows, {O.r('avg(CASE WHEN return_pct > 0 THEN 1.0::DOUBLE ELSE 0 END)', 'positive_ratio')}, {O.r('median(return_pct)', 'median_return_pct')}, {O.r('min(return_pct)', 'worst_return_pct')}, {O.r('max(return_pct)', 'best_return_pct')}, {O.r('avg(return_pct)', 'avg_return_pct')}"
+
+
+@register(query(_WINDOWED, f"SELECT phase, {_STATS} FROM wr GROUP BY phase"))
+def window_return_stats(spark, d):
+    return rounded(_window_returns(spark, d).groupBy("phase").agg(*scoring.window_stats(None, [])))
+
+
+@register(query(_WINDOWED, f"SELECT regime, {_STATS} FROM wr GROUP BY regime"))
+def regime_window_stats(spark, d):
+    return rounded(_window_returns(spark, d).groupBy("regime").agg(*scoring.window_stats(None, [])))
+
+
+_PHASES = "'RESEARCH', 'SELECTION', 'VALIDATION', 'HOLDOUT'"
+
+
+@register(query(f"{_SEGMENTED}, {O.metrics(O.BASE_KEYS, f'SELECT 14 AS atr_period, 25000 AS mult_e4, {chr(39)}BOTH{chr(39)} AS mode, segment_id, min_trades FROM segs WHERE phase IN ({_PHASES})')}", f"SELECT segment_id, {_ALL} FROM met"))
+def segment_metrics(spark, d):
+    bars, runs = _one(spark, d)
+    segs = walkforward.segments(bars, MIN_TRADES).where(F.col("phase").isin("RESEARCH", "SELECTION", "VALIDATION", "HOLDOUT"))
+    made = backtest.trades(runs, segs, bars, KEYS, FEE, SLIP, "atr_period")
+    wanted = _grid(spark, bars, [14], [25000]).join(segs.select("symbol", "tf", "segment_id", "min_trades"), ["symbol", "tf"])
+    return rounded(backtest.metrics(made, KEYS, wanted).select("segment_id", *backtest.METRICS))
+
+
+# --- sweep, scores, grids ---
+
+_ID = "atr_period, mult_e4::BIGINT AS mult_e4, mode"
+_SCORES = ", ".join(O.r(c) for c in ("selection_score", "validation_score", "robust_score"))
+
+
+@register(query(O.SWEPT, f"SELECT {_ID}, selection_windows, validation_windows, {_SCORES} FROM swept"))
+def phase_scores(spark, d):
+    return rounded(swept(spark, d).select(*KEYS, "selection_windows", "validation_windows", "selection_score", "validation_score", "robust_score"))
+
+
+_FLAT = ["wf_windows", "wf_positive_windows", "wf_positive_ratio", "wf_median_return_pct", "wf_worst_return_pct", "wf_best_return_pct", "selection_windows", "selection_positive_ratio", "selection_median_return_pct", "selection_worst_return_pct", "validation_windows", "validation_positive_ratio", "validation_median_return_pct", "validation_worst_return_pct",
+         *(f"{g}_{c}" for g in ("up", "down", "flat") for c in ("windows", "positive_ratio", "avg_return_pct")), *(f"{p}_{c}" for p in ("train", "test") for c in O.METRICS), "selection_score", "validation_score", "robust_score"]
+_INTS = {c for c in _FLAT if c.endswith("_windows") or c.partition("_")[2] in O.COUNTS}
+
+
+@register(query(O.SWEPT, f"SELECT strategy_type, symbol, tf, stage, {_ID}, {', '.join(c if c in _INTS else O.r(c) for c in _FLAT)} FROM swept"))
+def flat_results(spark, d):
+    return rounded(swept(spark, d).select("strategy_type", "symbol", "tf", "stage", *KEYS, *_FLAT))
+
+
+@register(query(O.SWEPT, f"SELECT {_ID}, {_SCORES} FROM swept ORDER BY swept.robust_score DESC, swept.validation_score DESC, swept.selection_score DESC, atr_period, mult_e4, mode LIMIT 10"))
+def sweep_small_topk(spark, d):
+    return rounded(reports.ranked_top(swept(spark, d), 10).select(*KEYS, "selection_score", "validation_score", "robust_score"))
+
+
+def _range_sql(r: range) -> str:
+    return f"range({r.start}, {r.stop}, {r.step})"
+
+
+def _steps_sql(steps: list[int]) -> str:
+    return "(VALUES " + ", ".join(f"({s})" for s in steps) + ")"
+
+
+def _product_sql(periods: range, mults: list[int], modes) -> str:
+    return f"SELECT p::INTEGER AS atr_period, m::BIGINT AS mult_e4, mode FROM {_range_sql(periods)} a(p), {_steps_sql(mults)} b(m), (VALUES {', '.join(f'({m!r})' for m in modes)}) c(mode)"
+
+
+_PRESET = grid.PRESETS["standard"]
+_COARSE = _product_sql(_PRESET.periods, _PRESET.mults, grid.MODES)
+
+
+@register(_COARSE)
+def grid_coarse(spark, d):
+    return grid.coarse(spark, _PRESET)
+
+
+@register(f"({' UNION '.join(_product_sql(*p) for p in _PRESET.probes)}) EXCEPT ({_COARSE})")
+def grid_breadth_minus_coarse(spark, d):
+    return grid.breadth(spark, _PRESET)
+
+
+@register("WITH v AS (SELECT * FROM (VALUES (8, 21), (12, 26), (20, 50)) e(ema_fast, ema_slow), (VALUES (14)) a(adx_period), (VALUES (18.0::DOUBLE), (25.0::DOUBLE)) t(adx_threshold), (VALUES (0.10::DOUBLE), (0.25::DOUBLE)) s(separation_atr), (VALUES (2)) c(confirm_bars), (VALUES (3), (6)) h(min_hold_bars)) SELECT *, row_number() OVER (ORDER BY ema_fast, ema_slow, adx_period, adx_threshold, separation_atr, confirm_bars, min_hold_bars) - 1 AS regime_id FROM v")
+def regime_grid(spark, d):
+    return grid.regime_grid(spark, _PRESET.regimes)
+
+
+@register("WITH s(p, m) AS (VALUES (10, 20000), (3, 3000)) SELECT DISTINCT a::INTEGER AS atr_period, b::BIGINT AS mult_e4, 'BOTH' AS mode FROM s, range(2, 400) x(a), range(1500, 170000, 500) y(b) WHERE a BETWEEN greatest(2, p - 4) AND p + 4 AND b BETWEEN greatest(1500, m - 4000) AND m + 4000 AND (b - greatest(1500, m - 4000)) % 500 = 0")
+def grid_around_seeds(spark, d):
+    seeds = spark.sql("SELECT * FROM VALUES (10, 20000L, 'BOTH'), (3, 3000L, 'BOTH') AS t(atr_period, mult_e4, mode)")
+    return grid.around(seeds, _PRESET.fine)
+
+
+# --- adaptive ---
+
+
+def _adaptive(spark, d):
+    bars = C.orders_daily(spark, d)
+    side = lambda p, m: indicators.trend_runs(bars, _grid(spark, bars, [p], [m])).drop("atr_period", "mult_e4")
+    config = spark.range(1).select(F.lit(0).cast("long").alias("regime_id"), *(F.lit(v).alias(k) for k, v in O.REGIME.items()))
+    regimes = indicators.regime_runs(bars, config).drop("regime_id")
+    runs = indicators.combine_runs(side(*O.LONG), side(*O.SHORT), regimes, []).withColumn("one", F.lit(0))
+    return bars, runs
+
+
+@register(query(O.ADAPTIVE, "SELECT first_idx, last_idx, side FROM set_runs"))
+def adaptive_signal(spark, d):
+    return _adaptive(spark, d)[1].select("first_idx", "last_idx", "side")
+
+
+@register(query(f"{O.ADAPTIVE}, {O.FULL}, {O.trades('one')}", "SELECT side, entry_idx, exit_idx, entry_price, exit_price, gross, net, month FROM trades"))
+def adaptive_trades(spark, d):
+    bars, runs = _adaptive(spark, d)
+    return backtest.trades(runs, walkforward.whole_range(bars), bars, ["one"], FEE, SLIP).select("side", "entry_idx", "exit_idx", "entry_price", "exit_price", "gross", "net", "month")
+
+
+_AD = f"{O.ADAPTIVE}, {O.PLAN}, {O.SEGS}, {O.trades('one')}, {O.results('one', 'SELECT 0 AS one', fused=True)}"
+
+
+@register(query(_AD, f"SELECT {', '.join(c if c in _INTS else O.r(c) for c in _FLAT)} FROM res"))
+def adaptive_metrics(spark, d):
+    bars, runs = _adaptive(spark, d)
+    settings = bars.select("symbol", "tf").distinct().withColumn("one", F.lit(0))
+    return rounded(evaluate.evaluate(runs, settings, ["one"], walkforward.segments(bars, MIN_TRADES), bars, FEE, SLIP, MIN_TRADES, fused=True).select(*_FLAT))
+
+
+@register(query(f"{_AD}, bal AS (SELECT *, list_filter([CASE WHEN up_windows > 0 THEN up_positive_ratio END, CASE WHEN down_windows > 0 THEN down_positive_ratio END, CASE WHEN flat_windows > 0 THEN flat_positive_ratio END], lambda x: x IS NOT NULL) AS rates FROM res)", f"""SELECT wf_windows, train_trades, {O.r("CASE WHEN train_trades < 24 OR wf_windows < 4 THEN -1e9 ELSE train_total_return_pct / greatest(train_max_drawdown_pct, 2) * greatest(least(train_profit_factor, 3), 0) * sqrt(least(train_trades, 350) / 350.0::DOUBLE) * (0.15 + 0.85 * wf_positive_ratio) * (1 / (1 + greatest(-wf_worst_return_pct, 0) / 10)) * greatest(least(1 + wf_median_return_pct / 10, 1.8), 0.3) * (0.55 + coalesce(0.45 * list_min(rates), 0)) END", 'robust_score')} FROM bal"""))
+def adaptive_v1_score(spark, d):
+    bars, runs = _adaptive(spark, d)
+    settings = bars.select("symbol", "tf").distinct().withColumn("one", F.lit(0))
+    return rounded(evaluate.evaluate_v1(runs, settings, ["one"], walkforward.segments(bars, MIN_TRADES), bars, FEE, SLIP, MIN_TRADES).select("wf_windows", "train_trades", "robust_score"))
+
+
+# --- reports ---
+
+_VALID = "robust_score > -1e8"
+_SURVIVE = "train_total_return_pct > 0 AND test_total_return_pct > 0"
+_STRICT = "test_profit_factor > 1 AND test_max_drawdown_pct <= 20 AND test_trades >= 5"
+
+
+def _share(test: str, name: str, where: str = "true") -> str:
+    return O.r(f"coalesce(avg(CASE WHEN {test} THEN 1.0::DOUBLE ELSE 0 END) FILTER ({where}), 0)", name)
+
+
+def _mid(value: str, name: str, where: str = "true") -> str:
+    return O.r(f"coalesce(median({value}) FILTER ({where}), 0)", name)
+
+
+@register(query(O.SWEPT, f"""SELECT strategy_type, tf, count(*) AS candidates, count(*) FILTER ({_VALID}) AS valid_candidates, {_share('selection_score > 0', 'selection_positive_ratio', _VALID)}, {_share('validation_score > 0', 'validation_positive_ratio', _VALID)}, {_share('test_total_return_pct > 0', 'holdout_positive_ratio', _VALID)},
+  count(*) FILTER ({_VALID} AND {_SURVIVE}) AS survivors, count(*) FILTER ({_VALID} AND {_SURVIVE} AND {_STRICT}) AS strict_survivors, {_mid('validation_median_return_pct', 'median_validation_window_pct', _VALID)}, {_mid('test_total_return_pct', 'median_holdout_pct', _VALID)}, {O.r(f'coalesce(max(test_total_return_pct) FILTER ({_VALID}), 0)', 'best_holdout_pct')} FROM swept GROUP BY strategy_type, tf"""))
+def strategy_summary(spark, d):
+    return rounded(reports.strategy_summary(swept(spark, d)))
+
+
+@register(query(O.SWEPT, f"SELECT {_ID}, {_SCORES}, {O.r('test_total_return_pct')}, {_STRICT} AS strict_survivor FROM swept WHERE {_VALID} AND {_SURVIVE}"))
+def survivors(spark, d):
+    return rounded(reports.survivors(swept(spark, d)).select(*KEYS, "selection_score", "validation_score", "robust_score", "test_total_return_pct", "strict_survivor"))
+
+
+@register(query(O.SWEPT, "SELECT strategy_type, tf, stage, count(*) AS candidates, min(atr_period) AS atr_min, max(atr_period) AS atr_max, count(DISTINCT atr_period) AS atr_unique, min(mult_e4)::BIGINT AS mult_min, max(mult_e4)::BIGINT AS mult_max, count(DISTINCT mult_e4) AS mult_unique, string_agg(DISTINCT mode, ',' ORDER BY mode) AS modes FROM swept GROUP BY ALL"))
+def parameter_coverage(spark, d):
+    return reports.parameter_coverage(swept(spark, d))
+
+
+@register(query(O.SWEPT, f"""SELECT tf, mode, atr_bucket, mult_bucket, count(*) AS members, {_share('selection_score > 0', 'selection_positive_ratio')}, {_share('validation_score > 0', 'validation_positive_ratio')}, {_mid('selection_score', 'median_selection_score')}, {_mid('validation_score', 'median_validation_score')}, {_mid('validation_median_return_pct', 'median_validation_window_pct')}, {_share('test_total_return_pct > 0', 'holdout_positive_ratio')}, {_mid('test_total_return_pct', 'median_holdout_pct')}
+FROM (SELECT *, (atr_period // 10 * 10)::BIGINT AS atr_bucket, (round_even(mult_e4 / 20000.0::DOUBLE, 0) * 20000)::BIGINT AS mult_bucket FROM swept WHERE selection_score > -1e8) GROUP BY tf, mode, atr_bucket, mult_bucket HAVING count(*) >= 2""".replace("20000", "2500").replace(">= 2", ">= 1")))
+def cluster_landscape(spark, d):
+    """With one member enough, as the small sweep is sparse; the report's default is three."""
+    return rounded(reports.cluster_landscape(swept(spark, d), 1))
+
+
+@register(query(f"{O.SWEPT}, top AS (SELECT *, row_number() OVER (ORDER BY robust_score DESC, validation_score DESC, selection_score DESC, atr_period, mult_e4, mode) AS rank FROM swept)", f"""SELECT t.rank::INTEGER AS rank, 'ORDERS' AS symbol, 1440 AS tf, t.mode, t.atr_period, t.mult_e4::BIGINT AS mult_e4, count(n.mode) AS neighbours, {_share('n.selection_score > 0', 'selection_positive_ratio', 'n.mode IS NOT NULL')}, {_share('n.validation_score > 0', 'validation_positive_ratio', 'n.mode IS NOT NULL')}, {_share('n.test_total_return_pct > 0', 'holdout_positive_ratio', 'n.mode IS NOT NULL')}, {_mid('n.validation_score', 'median_validation_score')}, {_mid('n.test_total_return_pct', 'median_holdout_pct')}
+FROM top t LEFT JOIN swept n ON n.mode = t.mode AND abs(n.atr_period - t.atr_period) <= 4 AND abs(n.mult_e4 - t.mult_e4) <= 10000 AND n.robust_score > -1e8 WHERE t.rank <= 20 GROUP BY t.rank, t.mode, t.atr_period, t.mult_e4"""))
+def neighbour_stability(spark, d):
+    """Over wider bands than the report's default, as the small sweep is sparse."""
+    df = swept(spark, d)
+    return rounded(reports.neighbour_stability(df, reports.ranked_top(df, 20), 4, 10000))
+
+
+@register(query(O.SWEPT, f"""SELECT * FROM (SELECT strategy_type, tf, mode, stage, atr_period, mult_e4::BIGINT AS mult_e4, {_SCORES}, {O.r('test_total_return_pct')}, concat_ws(';', CASE WHEN swept.selection_score > 0 AND swept.validation_score <= 0 THEN 'selection_positive_validation_nonpositive' END, CASE WHEN selection_median_return_pct > 0 AND validation_median_return_pct < 0 THEN 'median_sign_flip' END,
+  CASE WHEN validation_positive_ratio < 0.5 THEN 'less_than_half_validation_windows_positive' END, CASE WHEN swept.test_total_return_pct < 0 THEN 'holdout_negative' END) AS flags FROM swept WHERE swept.selection_score > -1e8) WHERE flags <> ''"""))
+def overfit_flags(spark, d):
+    return rounded(reports.overfit_flags(swept(spark, d)))
+
+
+@register(query(O.SWEPT, f"SELECT tf, atr_period, mult_e4::BIGINT AS mult_e4, {', '.join(O.r(f'max(robust_score) FILTER (mode = {m!r})', m.lower()) for m in O.MODES)} FROM swept GROUP BY tf, atr_period, mult_e4"))
+def heatmap_pivot(spark, d):
+    return rounded(reports.heatmap(swept(spark, d)))
+
+
+@register(query(O.SWEPT, f"SELECT count(*) AS candidates, count(*) FILTER ({_VALID}) AS valid_candidates, 0::BIGINT AS nan_scores, count(*) FILTER ({_VALID} AND {_SURVIVE}) AS survivors, count(*) FILTER ({_VALID} AND {_SURVIVE} AND {_STRICT}) AS strict_survivors FROM swept"))
+def report_summary(spark, d):
+    return reports.summary(swept(spark, d))
+
+
+@register(query(f"{_RUNS}, {O.moded(['BOTH'])}, {O.PLAN}, {_PARTS}, segs AS (SELECT part AS segment_id, a AS start_idx, b AS end_idx, false AS raised FROM parts), {O.trades(O.BASE_KEYS, least=0)}", "SELECT segment_id, side, entry_idx, exit_idx, entry_ts, exit_ts, entry_price, exit_price, gross, net FROM trades"))
+def trade_audit(spark, d):
+    bars, runs = _one(spark, d)
+    made = backtest.trades(runs, reports.audit_segments(walkforward.plan(bars)), bars, KEYS, FEE, SLIP, least_bars=0)
+    return made.select("segment_id", "side", "entry_idx", "exit_idx", "entry_ts", "exit_ts", "entry_price", "exit_price", "gross", "net")
+
+
+@register(query(f"{O.SWEPT}, a AS (SELECT 1 AS o, atr_period, mult_e4, mode FROM swept ORDER BY robust_score DESC, validation_score DESC, selection_score DESC, atr_period, mult_e4, mode LIMIT 15), b AS (SELECT 2 AS o, atr_period, mult_e4, mode FROM swept WHERE mode = 'LONG')", "SELECT min(o) AS o, atr_period, mult_e4::BIGINT AS mult_e4, mode FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY atr_period, mult_e4, mode"))
+def audit_union(spark, d):
+    """The keyed union of two leader tables: of one setting, the first table's row."""
+    df = swept(spark, d)
+    a = reports.ranked_top(df, 15).select(F.lit(1).alias("o"), *KEYS)
+    return reports.keyed_union(a, df.where("mode = 'LONG'").select(F.lit(2).alias("o"), *KEYS), KEYS)
+
+
+@register()
+def diversified_top(spark, d):
+    return select.diversified_top(swept(spark, d), 20).select(*KEYS, "robust_score")
+
+
+@register()
+def choose_seeds(spark, d):
+    return select.choose_seeds(swept(spark, d), 12).select(*KEYS, "selection_score")
+
+
+@register(query(O.SWEPT, f"SELECT {_ID}, {O.r('selection_score')} FROM swept"))
+def retained_rows(spark, d):
+    """Retention of a pool that came in twice: one row a setting."""
+    df = swept(spark, d)
+    return rounded(select.retain(df.unionByName(df), 3500).select(*KEYS, "selection_score"))
+
+
+@register("SELECT strategy_type, tf, stage, 1::BIGINT * n AS n FROM (VALUES ('BASE', 1440, 'coarse', 48)) v(strategy_type, tf, stage, n)")
+def store_counts(spark, d):
+    return store.counts(swept(spark, d).select("strategy_type", "tf", "stage", *KEYS))
+
+
+@register()
+def run_signature(spark, d):
+    config = dict(symbol="ORDERS", months=18, tfs=[1440], fee=FEE, slippage=SLIP, depth="standard")
+    return spark.range(1).select(F.lit(store.signature(config, C.orders_daily(spark, d))).alias("signature"))
