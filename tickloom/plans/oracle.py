@@ -7,7 +7,7 @@ PERIODS, MULTS, MODES = (7, 10, 14, 21), (10000, 20000, 30000, 50000), ("BOTH",
 
 
 def r(x: str, name: str | None = None) -> str:
-    return f"floor({x} * 1e6 + 0.5) / 1e6 AS {name or x.rpartition('.')[2]}"
+    return f"floor(({x}) * 1e6 + 0.5) / 1e6 AS {name or x.rpartition('.')[2]}"
 
 
 def _bars(table: str, ms: str, seq: str, value: str, even: str, base: int, bar: int, symbol: str, tf: int) -> str:
