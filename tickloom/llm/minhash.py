@@ -4,20 +4,25 @@ A document's set is that of its distinct ``words``-word shingles (lower-cased A-
 shingle, its whole sequence; without words it has none and is linked with nothing. Two documents are linked if their
 sets' Jaccard similarity is at least PERCENT / 100.
 
-1. Signatures (numpy over Arrow batches): ROWS * BANDS minima of multiply-add hashes. Each band's ROWS minima give a
-   64-bit key; the low BITS bits of each (mixed) minimum are packed into longs, the b-bit signature.
+1. Band keys (numpy over Arrow batches): ROWS * BANDS minima of multiply-add hashes; each band's ROWS minima give a
+   64-bit key.
 2. Documents with equal sets, told by a 128-bit digest, are one class; everything below works on classes.
-3. Bucket keys that hold at least two classes are active. In each pivot round every bucket names one or two of its
-   classes, and its other classes are compared with those: linear in a bucket's size, not quadratic.
+3. Classes that share no bucket with another are done. The others' texts are read again for HASHES minima. These give
+   FINE_BANDS keys of FINE_ROWS minima, which dissimilar texts seldom share even if they have a passage in common; and
+   the low BITS bits of each (mixed) minimum are packed into longs: the b-bit signature. In each pivot round every bucket names one of its classes, and each class is compared with that pivot
+   with which it shares most buckets: one pair a class and round, not quadratic in a bucket's size.
 4. A comparison first estimates the similarity from the packed bits: the share of equal BITS-bit groups, corrected for
-   chance agreement, by counting bits in the JVM. Only pairs that could be similar (within 6 standard errors) are
-   confirmed on the full sets, which are made again from the texts of documents in active buckets only.
+   chance agreement, by counting bits in the JVM. Only pairs that could be similar (within 5.5 standard errors) are
+   confirmed on the full sets.
 5. Confirmed links are joined into components by label propagation with pointer jumping. Buckets whose classes still
-   have different labels stay open. When pivots have merged what they can, the pairs with different labels left in
-   open buckets are compared exhaustively, so no link that any band proposes is lost. Pairs that are in one component
-   already need no comparison.
+   have different labels stay open. In them, the classes outside a bucket's largest label are compared by signature with
+   all its classes of other labels, in blocks of at most BLOCK by BLOCK that spread over tasks; a pair counts in the
+   first bucket that both share. First only each class's likeliest partner is confirmed; then all likely pairs
+   that are left. So no link that any band proposes is lost; pairs that are in
+   one component already need no confirmation.
 
-At a similarity of 0.8 a pair meets in no band with probability (1 - 0.8**4)**32 = 5e-8, and less above.
+At a similarity of 0.8 a pair meets in no band with probability (1 - 0.8**4)**32 = 5e-8, in no fine band with
+probability (1 - 0.8**8)**96 = 2e-8, and less above (chance agreement of bits only adds candidates).
 
 Between steps, tables are written in the shared folder. No group is gathered in one task: buckets and classes are met
 by joins, which adaptive execution splits where a key is hot, and by aggregates that combine before the shuffle.
@@ -41,12 +46,11 @@ from .common import batches, stash, texts
 
 PERCENT = 80
 BANDS, ROWS, BITS = 32, 4, 4
-HASHES = BANDS * ROWS
-#: Estimates 6 standard errors below the threshold: 0.8 - 6 * sqrt(p * (1 - p) / HASHES) / (1 - 1/16), p = 0.8125.
-LEAST_ESTIMATE = 0.58
-#: Pivot rounds after the first; the exhaustive comparison follows sooner if few pairs are left.
-MAX_PIVOT_ROUNDS = 6
-FEW_PAIRS_A_MEMBER = 8
+FINE_BANDS, FINE_ROWS = 96, 8
+HASHES = FINE_BANDS * FINE_ROWS
+#: 5.5 standard errors below the threshold: 0.8 - 5.5 * sqrt(p * (1 - p) / HASHES) / (1 - 1/16), p = 0.8125.
+LEAST_ESTIMATE = 0.715
+BLOCK = 512
 FILTER_BITS = 24
 
 _U = np.uint64
@@ -85,24 +89,117 @@ class Shingler:
         return np.unique(_mix(out + _U(n)))
 
 
-def _signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys (int64, documents x BANDS) and packed bits (int64, documents x HASHES * BITS / 64) of non-empty sets."""
+def _minima(sets: list[np.ndarray], n: int) -> np.ndarray:
+    """The first n hashes' minima of non-empty sets."""
     flat = np.concatenate(sets)
     starts = np.cumsum([0] + [len(s) for s in sets[:-1]])
-    minima = np.empty((len(sets), HASHES), np.uint64)
-    for i in range(HASHES):
-        minima[:, i] = np.minimum.reduceat(flat * _MUL[i] + _ADD[i], starts)
-    keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(sets), BANDS))
-    for r in range(ROWS):
-        keys = _mix(keys * _U(0x9E3779B97F4A7C15) + minima[:, r::ROWS])
-    low = _mix(minima + _U(0x51ED27)) & _U((1 << BITS) - 1)
+    out = np.empty((len(sets), n), np.uint64)
+    for i in range(n):
+        out[:, i] = np.minimum.reduceat(flat * _MUL[i] + _ADD[i], starts)
+    return out
+
+
+def _keys(minima: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    keys = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (len(minima), bands))
+    for r in range(rows):
+        keys = _mix(keys * _U(0x9E3779B97F4A7C15) + minima[:, r * bands : (r + 1) * bands])
+    return keys.view(np.int64)
+
+
+def band_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """int64, sets x BANDS."""
+    return _keys(_minima(sets, BANDS * ROWS), BANDS, ROWS)
+
+
+def packed_bits(sets: list[np.ndarray]) -> np.ndarray:
+    """The packed signature: int64, sets x HASHES * BITS / 64; its 32-bit halves, low one first, are the fine bands."""
+    low = _mix(_minima(sets, HASHES) + _U(0x51ED27)) & _U((1 << BITS) - 1)
     per = 64 // BITS
     shifts = (np.arange(per, dtype=np.uint64) * _U(BITS))[None, None, :]
-    packed = np.bitwise_or.reduce(low.reshape(len(sets), HASHES // per, per) << shifts, axis=2)
-    return keys.view(np.int64), packed.view(np.int64)
+    return np.bitwise_or.reduce(low.reshape(len(sets), HASHES // per, per) << shifts, axis=2).view(np.int64)
+
+
+def _fine_keys(sig: Column) -> Column:
+    """Of a packed signature: each 32-bit word under its place."""
+    low = F.transform(sig, lambda x, i: x.bitwiseAND(F.lit(0xFFFFFFFF)) + F.shiftleft((i * 2).cast("long"), 32))
+    high = F.transform(sig, lambda x, i: F.shiftrightunsigned(x, 32) + F.shiftleft((i * 2 + 1).cast("long"), 32))
+    return F.concat(low, high)
+
+
+_NIBBLE = _U(0x1111111111111111)
 
 
-_SIGNATURE_SCHEMA = "doc_id long, n_shingles long, cls binary, sig array<long>, bands array<long>"
+def _compare_blocks(best: bool):
+    return lambda it: _compared(it, best)
+
+
+def _compared(it, best: bool):
+    """Rows (key, chunk, block, cls, label, query, sig) sorted by the first three: likely pairs (a asks) with their estimates; the best one of each asking row if best."""
+    held: list = []
+    for batch in it:
+        held.append(batch)
+        table = pa.Table.from_batches(held)
+        k = [table.column(c).to_numpy() for c in range(3)]
+        cut = np.flatnonzero((k[0][1:] != k[0][:-1]) | (k[1][1:] != k[1][:-1]) | (k[2][1:] != k[2][:-1])) + 1
+        if len(cut):
+            yield from _compare(table.slice(0, cut[-1]), np.concatenate([[0], cut]), best)
+            held = table.slice(cut[-1]).to_batches()
+    if held and sum(map(len, held)):
+        table = pa.Table.from_batches(held)
+        yield from _compare(table, np.array([0, len(table)]), best)
+
+
+def _compare(table: pa.Table, bounds: np.ndarray, best: bool):
+    key, label, query = (table.column(c).to_numpy() for c in (0, 4, 5))
+    raw = table.column(3).to_pylist()
+    sig = np.array(table.column(6).combine_chunks().flatten()).view(np.uint64).reshape(len(table), -1)
+    words = sig.view(np.uint32)
+    out: tuple[list, list, list] = ([], [], [])
+    for a, b in zip(bounds[:-1], bounds[1:]):
+        ask = np.flatnonzero(query[a:b] == 1) + a
+        rest = np.flatnonzero(query[a:b] != 1) + a
+        if not len(ask) or not len(rest):
+            continue
+        band = int(key[a]) >> 32
+        for q in ask:
+            y = rest[label[rest] != label[q]]
+            y = y[(words[y] == words[q]).argmax(1) == band]
+            if len(y):
+                d = sig[y] ^ sig[q]
+                d |= d >> _U(1)
+                d |= d >> _U(2)
+                same = HASHES - np.bitwise_count(d & _NIBBLE).sum(1)
+                about = (same / HASHES - 1 / 16) / (15 / 16)
+                pairs = [(float(e), j) for e, j in zip(about, y) if e >= LEAST_ESTIMATE and (best or query[j] == 0 or raw[j] > raw[q])]  # of two that ask, one
+                for e, j in [max(pairs)] if best and pairs else pairs:
+                    out[0].append(raw[q])
+                    out[1].append(raw[j])
+                    out[2].append(e)
+    if out[0]:
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2])], names=["a", "b", "e"])
+
+
+def _likely_pairs(members: DataFrame, sig: DataFrame, best: bool) -> DataFrame:
+    """Of open buckets (key, cls, label): every likely pair (a, b) of different labels; or each asking class's best."""
+    sizes = members.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"))
+    sizes = sizes.select(F.col("key").alias("k"), F.col("top.label").alias("main"), F.ceil(F.col("n") / BLOCK).alias("blocks"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).alias("chunks"))
+    df = members.join(sizes, F.col("key") == F.col("k")).join(sig.withColumnRenamed("cls", "c"), F.col("cls") == F.col("c"))
+    asks = F.col("label") != F.col("main")
+    own = F.xxhash64("cls", F.lit(-1))
+    places = lambda n, make: F.transform(F.sequence(F.lit(0).cast("long"), n - 1), make)
+    deal = lambda chunk, block, role: F.struct(chunk.alias("chunk"), block.alias("block"), role.alias("role"))
+    # role 1 asks; roles 0 (of the main label) and 2 (that ask elsewhere) answer
+    ask = places(F.col("blocks"), lambda k: deal(F.pmod(own, F.col("chunks")), k, F.lit(1)))
+    answer = places(F.col("chunks"), lambda k: deal(k, F.pmod(own, F.col("blocks")), F.when(asks, 2).otherwise(0)))
+    df = df.select("key", "cls", F.xxhash64("label").alias("tag"), "sig", F.explode(F.when(asks, F.concat(ask, answer)).otherwise(answer)).alias("d"))
+    dealt = df.select("key", "d.chunk", "d.block", "cls", "tag", "d.role", "sig").repartition("key", "chunk", "block").sortWithinPartitions("key", "chunk", "block")
+    found = batches(dealt).mapInArrow(_compare_blocks(best), "a binary, b binary, e double")
+    if best:
+        found = found.groupBy("a").agg(F.max(F.struct("e", "b"))["b"].alias("b"))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+_SIGNATURE_SCHEMA = "doc_id long, n_shingles long, cls binary, bands array<long>"
 
 
 def _digest(s: np.ndarray) -> bytes:
@@ -131,22 +228,24 @@ def _sign(words: int):
         for ids, found in _pieces(it):
             sets = [shingler(t) for t in found]
             full = [k for k, s in enumerate(sets) if len(s)]
-            cls, sig, bands = [None] * len(ids), [None] * len(ids), [None] * len(ids)
+            cls, bands = [None] * len(ids), [None] * len(ids)
             if full:
-                keys, packed = _signatures([sets[k] for k in full])
-                for j, k in enumerate(full):
-                    cls[k], sig[k], bands[k] = _digest(sets[k]), packed[j], keys[j]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, longs), pa.array(bands, longs)], names=["doc_id", "n_shingles", "cls", "sig", "bands"])
+                for k, keys in zip(full, band_keys([sets[k] for k in full])):
+                    cls[k], bands[k] = _digest(sets[k]), keys
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.binary()), pa.array(bands, longs)], names=["doc_id", "n_shingles", "cls", "bands"])
 
     return run
 
 
 def _sets(words: int):
+    longs = pa.list_(pa.int64())
+
     def run(it):
         shingler = Shingler(words)
         for _, found in _pieces(it):
             sets = [s for s in map(shingler, found) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["cls", "shingles"])
+            if sets:
+                yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array(list(packed_bits(sets)), longs), pa.array([s.view(np.int64) for s in sets], longs)], names=["cls", "sig", "shingles"])
 
     return run
 
@@ -197,11 +296,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, name: str = "minhash") -> D
     raw = texts(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
     signed = stash(batches(raw).mapInArrow(_sign(words), _SIGNATURE_SCHEMA), f"{name}-signed")
     real = signed.where("cls is not null and doc_id is not null")
-    buckets = real.select("cls", F.explode("bands").alias("key"))
-    several = buckets.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi")
-    active = stash(buckets.join(several.select(F.col("key").alias("k")), F.col("key") == F.col("k")).select("key", "cls").distinct(), f"{name}-active")
-    links = _links(docs, words, signed, active, name)
     first = real.groupBy("cls").agg(F.min("doc_id").alias("first"))
+    needed = _meeting(real.select("cls", F.explode("bands").alias("key"))).select("cls").distinct()
+    links = _links(docs, words, stash(first.join(needed, "cls"), f"{name}-classes"), name)
     if links is None:
         found = first.select("cls", F.col("first").alias("component_id"))
     else:
@@ -213,16 +310,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, name: str = "minhash") -> D
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _links(docs: DataFrame, words: int, signed: DataFrame, active: DataFrame, name: str) -> DataFrame | None:
-    """(cls, label) of all classes that have a link, or None if no bucket holds two classes."""
+def _meeting(buckets: DataFrame) -> DataFrame:
+    """Of (cls, key), the distinct rows of keys that hold at least two classes."""
+    several = buckets.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select(F.col("key").alias("k"))
+    return buckets.join(several, F.col("key") == F.col("k")).select("key", "cls").distinct()
+
+
+def _links(docs: DataFrame, words: int, info: DataFrame, name: str) -> DataFrame | None:
+    """(cls, label) of all classes that have a link, or None if no bucket holds two classes; info: cls and first doc_id."""
+    made = _needed_texts(docs, info).mapInArrow(_sets(words), "cls binary, sig array<long>, shingles array<long>")
+    sets = stash(made.join(info, "cls", "left_semi").dropDuplicates(["cls"]), f"{name}-sets")
+    active = stash(_meeting(sets.select("cls", F.explode(_fine_keys(F.col("sig"))).alias("key"))), f"{name}-active")
     if not active.limit(1).count():
         return None
-    needed = active.select("cls").distinct()
-    real = signed.where("cls is not null and doc_id is not null")
-    info = real.groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("sig").alias("sig")).join(needed, "cls")
-    info = stash(info, f"{name}-classes")
-    sets = stash(_needed_texts(docs, info).mapInArrow(_sets(words), "cls binary, shingles array<long>").join(needed, "cls", "left_semi").dropDuplicates(["cls"]), f"{name}-sets")
-    sig = info.select("cls", "sig")
+    sig = sets.select("cls", "sig")
+    ends = active.groupBy("key").agg(F.min("cls").alias("pivot")).withColumnRenamed("key", "k")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         one, two = (sets.select(F.col("cls").alias(f"_{k}"), F.col("shingles").alias(f"shingles_{k}")) for k in "ab")
@@ -234,32 +336,27 @@ def _links(docs: DataFrame, words: int, signed: DataFrame, active: DataFrame, na
         full = pairs.join(one, F.col("a") == F.col("_a")).join(two, F.col("b") == F.col("_b"))
         return full.where(estimate(F.col("sig_a"), F.col("sig_b")) >= LEAST_ESTIMATE).select("a", "b")
 
-    order = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    ends = active.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).withColumnRenamed("key", "k")
-    met = active.join(ends, F.col("key") == F.col("k")).select("cls", F.explode(F.array("lo", "hi")).alias("pivot")).where("cls <> pivot")
-    edges = confirmed(likely(met.select(*order("cls", "pivot")).distinct()))
-    members, round_ = active, 0
-    while True:
-        labels = components(edges)
-        labelled = members.join(labels.withColumnRenamed("cls", "c"), F.col("cls") == F.col("c"), "left").select("key", "cls", F.coalesce("label", "cls").alias("label"))
-        parts = labelled.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("s"), F.count("*").alias("parts")).where("parts > 1")
-        members = stash(labelled.join(parts.select(F.col("key").alias("k")), F.col("key") == F.col("k")).select("key", "cls", "label"), f"{name}-open")
-        size = parts.agg(F.sum(F.expr("(n * n - s) / 2")).alias("pairs"), F.sum("n").alias("members")).first()
-        if not size["members"]:
-            return labels
-        if round_ == MAX_PIVOT_ROUNDS or size["pairs"] <= FEW_PAIRS_A_MEMBER * size["members"]:
-            break
-        round_ += 1
-        turn = F.xxhash64("cls", F.lit(round_))
-        pivots = members.groupBy("key").agg(F.min(F.struct(turn.alias("t"), F.col("cls").alias("pivot"), F.col("label").alias("of"))).alias("p")).select(F.col("key").alias("k"), "p.pivot", "p.of")
-        met = members.join(pivots, F.col("key") == F.col("k")).where("label <> of").select(*order("cls", "pivot")).distinct()
-        edges = stash(edges.unionByName(confirmed(likely(met))), f"{name}-edges")
-        members = members.select("key", "cls")
-    known = members.join(sig.withColumnRenamed("cls", "c"), F.col("cls") == F.col("c")).select("key", "cls", "label", "sig")
-    x, y = known.alias("x"), known.alias("y")
-    close = (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.label") != F.col("y.label")) & (estimate(F.col("x.sig"), F.col("y.sig")) >= LEAST_ESTIMATE)
-    rest = x.join(y, close).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
-    return components(edges.unionByName(confirmed(rest)))
+    def best(met: DataFrame) -> DataFrame:
+        """For each class the one pivot with which it shares most buckets, so one pair a class and round."""
+        counted = met.groupBy("cls", "pivot").agg(F.count("*").alias("n"))
+        top = counted.groupBy("cls").agg(F.max(F.struct("n", "pivot"))["pivot"].alias("pivot"))
+        return top.select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()
+
+    met = active.join(ends, F.col("key") == F.col("k")).where("cls <> pivot").select("cls", "pivot")
+    edges = confirmed(likely(best(met)))
+    def still_open(members: DataFrame, edges: DataFrame) -> DataFrame:
+        labels = components(edges).withColumnRenamed("cls", "c")
+        labelled = members.join(labels, F.col("cls") == F.col("c"), "left").select("key", "cls", F.coalesce("label", "cls").alias("label"))
+        mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(F.col("key").alias("k"))
+        return stash(labelled.join(mixed, F.col("key") == F.col("k")).select("key", "cls", "label"), f"{name}-open")
+
+    opened = still_open(active, edges)
+    more = confirmed(_likely_pairs(opened, sig, best=True))
+    joined = more.count() * 10 >= edges.count()
+    edges = stash(edges.unionByName(more), f"{name}-edges")
+    if joined:  # else few pairs became needless
+        opened = still_open(opened.select("key", "cls"), edges)
+    return components(edges.unionByName(confirmed(_likely_pairs(opened, sig, best=False))))
 
 
 def _needed_texts(docs: DataFrame, info: DataFrame) -> DataFrame:
