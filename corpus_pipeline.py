@@ -27,7 +27,8 @@ def _documents(df: DataFrame) -> DataFrame:
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: rejected documents go, failed lines of the others too."""
-    kept = quality.clean_lines(docs, "lang", "source").where("kept")
+    # The row number keeps the filter above the rules: pushed below them it would hold each rule's expression many times over.
+    kept = quality.clean_lines(docs, "lang", "source").withColumn("_row", F.monotonically_increasing_id()).where("kept and _row >= 0")
     return _documents(kept.withColumnRenamed("clean_text", "text"))
 
 
