@@ -47,9 +47,9 @@ from .common import batches, stash, texts
 PERCENT = 80
 BANDS, ROWS, BITS = 32, 4, 4
 FINE_BANDS, FINE_ROWS = 96, 8
-HASHES = FINE_BANDS * FINE_ROWS
+HASHES = 2 * FINE_BANDS * FINE_ROWS
 #: 5.5 standard errors below the threshold: 0.8 - 5.5 * sqrt(p * (1 - p) / HASHES) / (1 - 1/16), p = 0.8125.
-LEAST_ESTIMATE = 0.715
+LEAST_ESTIMATE = 0.74
 BLOCK = 512
 FILTER_BITS = 24
 
@@ -112,7 +112,7 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def packed_bits(sets: list[np.ndarray]) -> np.ndarray:
-    """The packed signature: int64, sets x HASHES * BITS / 64; its 32-bit halves, low one first, are the fine bands."""
+    """The packed signature: int64, sets x HASHES * BITS / 64; its first 32-bit halves, low ones first, are the fine bands."""
     low = _mix(_minima(sets, HASHES) + _U(0x51ED27)) & _U((1 << BITS) - 1)
     per = 64 // BITS
     shifts = (np.arange(per, dtype=np.uint64) * _U(BITS))[None, None, :]
@@ -121,6 +121,7 @@ def packed_bits(sets: list[np.ndarray]) -> np.ndarray:
 
 def _fine_keys(sig: Column) -> Column:
     """Of a packed signature: each 32-bit word under its place."""
+    sig = F.slice(sig, 1, FINE_BANDS // 2)
     low = F.transform(sig, lambda x, i: x.bitwiseAND(F.lit(0xFFFFFFFF)) + F.shiftleft((i * 2).cast("long"), 32))
     high = F.transform(sig, lambda x, i: F.shiftrightunsigned(x, 32) + F.shiftleft((i * 2 + 1).cast("long"), 32))
     return F.concat(low, high)
@@ -153,7 +154,7 @@ def _compare(table: pa.Table, bounds: np.ndarray, best: bool):
     key, label, query = (table.column(c).to_numpy() for c in (0, 4, 5))
     raw = table.column(3).to_pylist()
     sig = np.array(table.column(6).combine_chunks().flatten()).view(np.uint64).reshape(len(table), -1)
-    words = sig.view(np.uint32)
+    words = sig[:, : FINE_BANDS // 2].copy().view(np.uint32)
     out: tuple[list, list, list] = ([], [], [])
     for a, b in zip(bounds[:-1], bounds[1:]):
         ask = np.flatnonzero(query[a:b] == 1) + a
