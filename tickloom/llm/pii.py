@@ -275,8 +275,12 @@ def _passes(kind: str):
     return lambda x: _valid(kind, x["m"])
 
 
-def _selects(kind: str, trees: list[tuple], least: float):
-    return lambda x: _score(features(kind, x), trees) >= least
+def _featured(kind: str):
+    return lambda x: F.struct(x.alias("x"), F.array(*features(kind, x)).alias("f"))
+
+
+def _selects(trees: list[tuple], least: float):
+    return lambda y: _score([y["f"][i] for i in range(len(FEATURES))], trees) >= least
 
 
 def _clear_of(column: str):
@@ -298,11 +302,13 @@ def find_spans(docs: DataFrame, *more: str) -> DataFrame:
             df = df.withColumn(f"added_{kind}", F.array().cast(_SPAN))
             continue
         df = _spans(df, "_c", PROPOSE[kind], PROPOSE_HINT[kind](F.col("text")))
-        good = F.filter("_c", _selects(kind, trees, least[kind]))
+        # features once a candidate, in a column of their own: inside the trees they would be repeated at every node
+        df = df.withColumn("_f", F.transform("_c", _featured(kind)))
+        good = F.transform(F.filter("_f", _selects(trees, least[kind])), lambda y: y["x"])
         against = [f"base_{k}" for k in KINDS] + earlier
         for column in against:
             good = F.filter(good, _clear_of(column))
-        df = df.withColumn(f"added_{kind}", F.when(F.size("_c") > 0, good).otherwise(F.array().cast(_SPAN))).drop("_c")
+        df = df.withColumn(f"added_{kind}", F.when(F.size("_c") > 0, good).otherwise(F.array().cast(_SPAN))).drop("_c", "_f")
         earlier.append(f"added_{kind}")
     return df
 
