@@ -104,6 +104,13 @@ def test_training_learns_order():
     assert m.log10([text])[0] > flat + 20
 
 
+def test_emissions_come_from_all_training_texts(spark, docs, monkeypatch):
+    masses, put = [], lm.Model.set_emissions
+    monkeypatch.setattr(lm.Model, "set_emissions", lambda self, counts, base: (masses.append(counts.sum()), put(self, counts, base))[1])
+    rows = lm.score_texts(docs.limit(60)).collect()
+    assert masses[-1] == pytest.approx(sum(r.n_subwords for r in rows if not r.held_out), rel=1e-3)
+
+
 # --- 2: personal data ---
 
 
