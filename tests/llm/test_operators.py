@@ -111,6 +111,14 @@ def test_emissions_come_from_all_training_texts(spark, docs, monkeypatch):
     assert masses[-1] == pytest.approx(sum(r.n_subwords for r in rows if not r.held_out), rel=1e-3)
 
 
+def test_rare_words_are_scored_by_the_same_rule(docs, monkeypatch):
+    told = lambda: {r.doc_id: r for r in lm.score_texts(docs.limit(60)).collect()}
+    whole = told()
+    monkeypatch.setattr(lm, "head_limit", lambda counts: 5)
+    few = told()
+    assert all(few[i].score == pytest.approx(whole[i].score, rel=1e-5) and few[i].n_known == whole[i].n_known for i in whole)
+
+
 # --- 2: personal data ---
 
 
