@@ -119,6 +119,17 @@ def test_rare_words_are_scored_by_the_same_rule(docs, monkeypatch):
     assert all(few[i].score == pytest.approx(whole[i].score, rel=1e-5) and few[i].n_known == whole[i].n_known for i in whole)
 
 
+def test_weights_come_from_all_training_texts_in_any_order(spark, docs, monkeypatch):
+    monkeypatch.setattr(lm, "SAMPLE_DOCS", 2)
+    learn = docs.limit(40).select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    counts = learn.select(F.explode(F.split(F.col("text").cast("string"), " ")).alias("word")).select(F.col("word").cast("binary"), F.lit(1).cast("long").alias("n"))
+    a, b = lm.fit(learn, counts), lm.fit(learn.orderBy(F.desc("doc_id")), counts)
+    ids = lm.Ids(lm.VOCABULARY)
+    seen = {int(x) for r in learn.collect() for x in ids.ids(ids.numbers(lm._words(bytes(r.text))))}
+    assert a.gate[sorted(seen)].any(1).all()
+    assert np.allclose(a.gate, b.gate, atol=1e-3)
+
+
 # --- 2: personal data ---
 
 
