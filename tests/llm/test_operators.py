@@ -274,6 +274,32 @@ def test_licence_spans(spark):
     assert (got[0].license, got[0].spans, got[1].license, got[1].n_licenses) == ("mit", "mit:14:45", "unknown", 0)
 
 
+MIT = """MIT License
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+BSD = """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are met:
+ *
+ * 1. Redistributions of source code must retain the above copyright notice, this
+ *    list of conditions and the following disclaimer.
+"""
+
+
+def test_wrapped_licences_are_found():
+    prose = "Some prose stands here in a line of its own,\nand goes on in the next.\n"
+    for text, family in ((MIT, "mit"), (BSD, "bsd")):
+        for whole in (text, prose + text, text.replace("\n", "\r\n"), text.replace("\n\n", "\n")):
+            found = licenses.scan(whole)
+            assert {x[2] for x in found} == {family} and len(found) >= 2
+            assert all(0 <= a < b <= len(whole) for a, b, _, _ in found)
+
+
 # --- 6: mixing ---
 
 

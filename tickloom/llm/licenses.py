@@ -1,6 +1,8 @@
 """Licence scans (operator 5): a trained paragraph classifier, confirmed by templates.
 
-A paragraph is a line with a word. Its features are hashed word 1-grams to 3-grams (letters, digits and dots, lower
+A paragraph is a line with a word, or a run of lines: up to LINES lines around one with a trigger word, or a piece of a
+block (lines up to one without a word), so that wrapped notices are seen whole. The narrowest paragraph with a family
+counts; wider ones that overlap it with the same family are left out. A paragraph's features are hashed word 1-grams to 3-grams (letters, digits and dots, lower
 case), as in or not in the paragraph. Multinomial logistic regression with the classes of FAMILIES and ``unknown`` is
 fitted on the driver with EXAMPLES labelled paragraphs that are made by rule from the templates (words dropped,
 strange words around, parts of templates) and, for ``unknown``, from other prose with and without licence words; none
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from functools import cache
 
 import numpy as np
@@ -162,6 +165,8 @@ def classify(paragraph: str, model=None) -> tuple[str, float]:
     return (FAMILIES[k] if p[k] >= LEAST and confirmed(words, FAMILIES[k]) else "unknown"), float(p[k])
 
 
+LINES, NARROW = 4, 800  # lines and characters of a run of lines, at most
+_BLANK = re.compile(r"\n(?:[^\w\n]*\n)+")
 PIECE = 60  # words: a long paragraph is judged in overlapping pieces, so that a notice in it is not diluted
 
 
@@ -179,23 +184,67 @@ def _pieces(paragraph: str, offset: int):
             break
 
 
+def _blocks(text: str, lines: list[tuple[int, int]]):
+    """(start, end, its lines of ``lines``) of the blocks that hold some of them."""
+    edges = [(0, 0), *(m.span() for m in _BLANK.finditer(text)), (len(text), len(text))]
+    k = 0
+    for (_, a), (b, _) in zip(edges, edges[1:]):
+        own = []
+        while k < len(lines) and lines[k][0] < b:
+            own.append(lines[k])
+            k += 1
+        if own:
+            yield a, b, own
+
+
+def _runs(text: str, start: int, end: int, line: tuple[int, int], n: int):
+    """(start, end) of the runs of n lines of a block that hold a line."""
+    before, after = [line[0]], [line[1]]
+    while len(before) < n and before[-1] > start:
+        before.append(text.rfind("\n", start, before[-1] - 1) + 1 or start)
+        before[-1] = max(before[-1], start)
+    while len(after) < n and after[-1] < end:
+        b = text.find("\n", after[-1] + 1, end)
+        after.append(end if b < 0 else b)
+    for up in range(n - 1, -1, -1):
+        if up < len(before) and n - 1 - up < len(after) and after[n - 1 - up] - before[up] <= NARROW:
+            yield before[up], after[n - 1 - up]
+
+
 def scan(text: str, model=None) -> list[tuple[int, int, str, float]]:
     """(start, end, family, probability) of the paragraphs (or their pieces) with a licence; touching pieces of one family are joined."""
-    out: list[tuple[int, int, str, float]] = []
-    last = -1
+    lines: list[tuple[int, int]] = []
     for t in _TRIGGER.finditer(text):
-        if t.start() < last:
-            continue
-        a, b = text.rfind("\n", 0, t.start()) + 1, text.find("\n", t.start())
-        last = b = len(text) if b < 0 else b
-        for x, y, piece in _pieces(text[a:b], a):
+        if not lines or t.start() >= lines[-1][1]:
+            a, b = text.rfind("\n", 0, t.start()) + 1, text.find("\n", t.start())
+            lines.append((a, len(text) if b < 0 else b))
+    taken: dict[str, list[list]] = {}  # by family, in order and disjoint
+
+    def add(pieces, joins):
+        fresh: list[list] = []
+        for x, y, piece in pieces:
             family, p = classify(piece, model)
-            if family != "unknown":
-                if out and out[-1][2] == family and x <= out[-1][1]:
-                    out[-1] = (out[-1][0], y, family, max(p, out[-1][3]))
-                else:
-                    out.append((x, y, family, p))
-    return out
+            if family == "unknown":
+                continue
+            own = taken.setdefault(family, [])
+            k = bisect_left(own, [y])
+            if joins and fresh and k and own[k - 1] is fresh[-1] and x <= fresh[-1][1]:
+                fresh[-1][1], fresh[-1][3] = y, max(p, fresh[-1][3])
+                continue
+            if k == 0 or own[k - 1][1] <= x:
+                fresh.append([x, y, family, p])
+                own.insert(k, fresh[-1])
+
+    for a, b in lines:
+        add(_pieces(text[a:b], a), True)
+    wrapped = [x for x in _blocks(text, lines) if "\n" in text[x[0] : x[1]]]
+    for n in range(2, LINES + 1):
+        for a, b, own in wrapped:
+            for line in own:
+                add(((x, y, text[x:y]) for x, y in _runs(text, a, b, line, n)), False)
+    for a, b, _ in wrapped:
+        add(_pieces(text[a:b], a), True)
+    return sorted(tuple(x) for own in taken.values() for x in own)
 
 
 SCHEMA = "doc_id long, n_licenses long, license string, families string, spans string"
