@@ -119,6 +119,14 @@ def test_rare_words_are_scored_by_the_same_rule(docs, monkeypatch):
     assert all(few[i].score == pytest.approx(whole[i].score, rel=1e-5) and few[i].n_known == whole[i].n_known for i in whole)
 
 
+def test_the_end_is_known_whatever_the_head(docs, monkeypatch):
+    told = lambda: {r.doc_id: r for r in lm.score_texts(docs.limit(60)).collect()}
+    whole = told()
+    monkeypatch.setattr(lm, "head_limit", lambda counts: 1 << 62)
+    few = told()
+    assert all(few[i].n_known == whole[i].n_known and few[i].base_score == pytest.approx(whole[i].base_score, rel=1e-9) for i in whole)
+
+
 def test_weights_come_from_all_training_texts_in_any_order(spark, docs, monkeypatch):
     monkeypatch.setattr(lm, "SAMPLE_DOCS", 2)
     learn = docs.limit(40).select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
