@@ -182,6 +182,12 @@ def test_redaction_leaves_other_text(spark):
     assert [r.text for r in pii.redact(df).orderBy("doc_id").collect()] == ["é mail [EMAIL], ip [IP]!", "nothing", ""]
 
 
+def test_parts_of_failed_runs_are_proposed(spark):
+    rows = [(1, "paid by card 4111 1111 1111 1111 12/27 ok"), (2, "call +49 30 1234567 (2019-2020) now"), (3, "table 12 34 56 78 90 12 34 56 78 90 12 34")]
+    got = [r.text for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == ["paid by card [CARD] 12/27 ok", "call [PHONE] (2019-2020) now", rows[2][1]]
+
+
 # --- 3: quality rules ---
 
 

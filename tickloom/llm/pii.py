@@ -2,9 +2,11 @@
 
 Base spans are the matches of four patterns (email, ip, card, phone) that pass a check of their digits. They always
 stay. The method adds spans: high-recall generators propose candidates in forms that the patterns miss ((at)
-addresses, IPv6, card numbers with other separators, phone numbers without +); boosted trees score format and context
-features of each; a threshold for each kind, calibrated on held-out examples, selects. A selected span that overlaps a
-base span of any kind, or an earlier selected one, is left out.
+addresses, IPv6, card numbers with other separators, phone numbers without +), and overlapping parts of base runs that
+failed their check (every run of whole digit groups with a card's digits and check sum; every leading run of groups with
+a phone's digits); boosted trees score format and context features of each; a threshold for each kind, calibrated on
+held-out examples, selects. Of selected spans that overlap, the best score stays, then the first, then the longer. One
+that overlaps a base span of any kind, or a selected one of an earlier kind, is left out.
 
 The trees are fitted on the driver on EXAMPLES labelled texts that are made from templates (their number is the
 documented bound; none of the corpus is used), with the same native feature expressions, and become one CASE
@@ -133,7 +135,49 @@ def _edge(ch: Column) -> Column:
     return F.when((ch == "") | ch.rlike(r"^\s"), 0).when(ch.rlike("^[A-Za-z0-9]"), 1).otherwise(2)
 
 
-FEATURES = ("kind", "cue", "against", "left_edge", "right_edge", "digits", "marks", "shape", "hex")
+def _card_parts(x: Column) -> Column:
+    """The parts of a run, from group to group, that have a card's digits and check sum."""
+    groups = F.split(x["m"], "[\\x20-]")
+    one = F.transform(groups, lambda g: F.char_length(g))
+
+    def parts(i):
+        def windows(n):
+            body = F.array_join(F.slice(groups, i, n), "")
+            return F.struct(i.alias("i"), n.alias("n"), body.alias("body"))
+
+        last = F.least(F.lit(19), F.size(groups) - i + 1)
+        return F.transform(F.sequence(F.lit(1), last), windows)
+
+    every = F.flatten(F.transform(F.sequence(F.lit(1), F.size(groups)), parts))
+    good = F.filter(every, lambda w: _valid("card", w["body"]))
+
+    def placed(w):
+        begin = F.aggregate(F.slice(one, 1, w["i"] - 1), F.lit(0), lambda a, b: a + b + 1)
+        return _part(x, begin, F.char_length(w["body"]) + w["n"] - 1)
+
+    return F.transform(good, placed)
+
+
+def _phone_parts(x: Column) -> Column:
+    """The leading parts of a run, up to the end of a group, that have a phone's digits."""
+    heads = F.array(*(F.regexp_extract(x["m"], rf"^\+[0-9]++(?:[\x20().-]++[0-9]++){{{k}}}", 0) for k in range(15)))
+    good = F.filter(heads, lambda m: _valid("phone", m))
+    return F.transform(good, lambda m: _part(x, F.lit(0), F.char_length(m)))
+
+
+def _part(x: Column, begin: Column, length: Column) -> Column:
+    """A part of a span, as a span."""
+    return F.struct(
+        (x["s"] + begin).alias("s"), (x["s"] + begin + length).alias("e"), F.substring(x["m"], begin + 1, length).alias("m"),
+        F.right(F.concat(x["left"], F.substring(x["m"], F.lit(1), begin)), F.lit(CONTEXT)).alias("left"),
+        F.left(F.concat(F.substring(x["m"], begin + length + 1, F.char_length(x["m"])), x["right"]), F.lit(CONTEXT)).alias("right"),
+    )
+
+
+PARTS = {"card": _card_parts, "phone": _phone_parts}
+
+
+FEATURES = ("kind", "cue", "against", "left_edge", "right_edge", "digits", "marks", "shape", "hex", "part")
 
 
 def features(kind: str, x: Column) -> list[Column]:
@@ -145,6 +189,11 @@ def features(kind: str, x: Column) -> list[Column]:
         "card": F.when(_luhn(m), 1).otherwise(0),
         "phone": F.when(m.rlike(r"^\(?[2-9][0-9]{2}\)?[\x20.-]?[2-9]"), 1).otherwise(0),
     }[kind]
+    # 0: a form that PROPOSE has, 1: a part of a run, 2: a part in the usual form of its kind
+    part = {
+        "card": F.when(m.rlike(r"[._/]"), 0).when(m.rlike(r"^(?:[2-6][0-9]{3}(?:[\x20-]?[0-9]{4}){3}|3[47][0-9]{2}[\x20-]?[0-9]{6}[\x20-]?[0-9]{5})$"), 2).otherwise(1),
+        "phone": F.when(~m.startswith("+"), 0).when(m.rlike(r"[(\x20.-](?:19|20)[0-9]{2}$") | m.rlike(r"\([^)]*$"), 1).otherwise(2),
+    }.get(kind, F.lit(0))
     return [
         F.lit(KINDS.index(kind)),
         F.when(left.rlike(CUES[kind]), 1).otherwise(0),
@@ -155,6 +204,7 @@ def features(kind: str, x: Column) -> list[Column]:
         F.char_length(F.regexp_replace(m, "[A-Za-z0-9]", "")),
         shape,
         F.char_length(F.regexp_replace(m, "[^A-Fa-f]", "")),
+        part,
     ]
 
 
@@ -193,6 +243,28 @@ def examples() -> list[tuple[str, str, int]]:
     return out
 
 
+def part_examples() -> list[tuple[str, str, str]]:
+    """EXAMPLES / 2 texts with runs that fail (kind, text, the part that is personal data, or nothing), made from templates."""
+    r = random.Random(8)
+    d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    out = []
+    while len(out) < EXAMPLES // 2:
+        good = len(out) // 2 % 2 == 0
+        if len(out) % 2 == 0:
+            x = r.choice("23456") + d(14)
+            total = sum((2 * int(c) - 9 * (2 * int(c) > 9)) if i % 2 == 0 else int(c) for i, c in enumerate(reversed(x)))
+            x, s = x + str(-total % 10), r.choice(" -")
+            body = s.join(x[i : i + 4] for i in range(0, 16, 4)) if good else " ".join(d(r.choice([1, 2, 3, 5, 6])) for _ in range(r.randint(5, 12)))
+            text = f"{r.choice(['', '', d(2) + ' '])}{body} {d(r.randint(1, 4))}" if good else body
+            kind, before = "card", r.choice(["card ", "paid by visa ", "", "nr "]) if good else r.choice(["order ", "table ", "", "lot "])
+        else:
+            body = f"+{r.randint(1, 99)} {r.choice([d(2), d(3), '(' + d(2) + ')'])} {d(r.randint(5, 7))}"
+            text = f"{body} {r.choice(['(2019-2020)', '2019 - 2024', '(' + d(4) + '-' + d(4) + ')'])}" if good else f"+{d(1)}.{d(1)} {' '.join(d(1) for _ in range(16))}"
+            kind, before = "phone", r.choice(["call ", "tel. ", "", "phone: "]) if good else r.choice(["score ", "ratio ", "figure ", ""])
+        out.append((kind, f"so {before}{text} on", body if good else ""))
+    return out
+
+
 def boost(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, rate: float = RATE) -> list[tuple]:
     """Gradient boosting with logistic loss: trees of two levels as (feature, limit, left, right), left: at most limit."""
     score, trees = np.zeros(len(y)), []
@@ -259,6 +331,12 @@ def _fitted(_app: str, spark) -> tuple[list[tuple], dict[str, float]]:
     for kind in KINDS:
         one = _spans(df.where(F.col("kind") == kind), "_c", PROPOSE[kind], F.lit(True)).select("id", "y", F.explode("_c").alias("c"))
         found += one.select("id", "y", F.array(*features(kind, F.col("c"))).alias("f")).collect()
+    made = json.dumps([{"id": i, "kind": k, "text": t, "y": y} for i, (k, t, y) in enumerate(part_examples())])
+    df = spark.range(1, numPartitions=1).select(F.explode(F.from_json(F.lit(made), "array<struct<id:int,kind:string,text:string,y:string>>")).alias("x")).select("x.*")
+    for kind in PARTS:
+        one = _spans(df.where(F.col("kind") == kind), "_c", BASE[kind], F.lit(True)).withColumn("_c", F.flatten(F.transform(F.filter("_c", _fails(kind)), PARTS[kind])))
+        one = one.select("id", "y", F.explode("_c").alias("c"))
+        found += one.select("id", (F.col("c.m") == F.col("y")).cast("int").alias("y"), F.array(*features(kind, F.col("c"))).alias("f")).collect()
     x, y, ids = (np.array([r[k] for r in found]) for k in ("f", "y", "id"))
     fit = ids // 8 % 2 == 0
     trees = boost(x[fit], y[fit])
@@ -275,17 +353,32 @@ def _passes(kind: str):
     return lambda x: _valid(kind, x["m"])
 
 
+def _fails(kind: str):
+    """Whether a base run failed its check and has a part that may pass."""
+    return lambda x: ~_valid(kind, x["m"]) & (F.char_length(_digits(x["m"])) > (13 if kind == "card" else 9)) & x["m"].rlike(r"[0-9][\x20().-]+[0-9]")
+
+
 def _featured(kind: str):
     return lambda x: F.struct(x.alias("x"), F.array(*features(kind, x)).alias("f"))
 
 
-def _selects(trees: list[tuple], least: float):
-    return lambda y: _score([y["f"][i] for i in range(len(FEATURES))], trees) >= least
+def _scored(trees: list[tuple]):
+    return lambda y: F.struct((-_score([y["f"][i] for i in range(len(FEATURES))], trees)).alias("worst"), y["x"]["s"].alias("s"), (-y["x"]["e"]).alias("back"), y["x"].alias("x"))
+
+
+def _best(scored: Column, least: float) -> Column:
+    """Of the spans that a threshold selects, those that no better one overlaps."""
+
+    def step(acc, y):
+        free = ~F.exists(acc, lambda b: (b["s"] < y["x"]["e"]) & (y["x"]["s"] < b["e"]))
+        return F.when(free, F.concat(acc, F.array(y["x"]))).otherwise(acc)
+
+    return F.aggregate(F.array_sort(F.filter(scored, lambda y: y["worst"] <= -least)), F.array().cast(_SPAN), step)
 
 
 def _clear_of(column: str):
     """The rule that a span overlaps none of a column's."""
-    return lambda x: ~F.exists(column, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
+    return lambda y: ~F.exists(column, lambda b: (b["s"] < y["x"]["e"]) & (y["x"]["s"] < b["e"]))
 
 
 def find_spans(docs: DataFrame, *more: str) -> DataFrame:
@@ -294,6 +387,8 @@ def find_spans(docs: DataFrame, *more: str) -> DataFrame:
     df = texts(docs, *more)
     for kind in KINDS:
         df = _spans(df, f"base_{kind}", BASE[kind], HINT[kind](F.col("text")))
+        if kind in PARTS:
+            df = df.withColumn(f"_parts_{kind}", F.flatten(F.transform(F.filter(f"base_{kind}", _fails(kind)), PARTS[kind])).cast(_SPAN))
         if kind != "email":
             df = df.withColumn(f"base_{kind}", F.filter(f"base_{kind}", _passes(kind)))
     earlier: list[str] = []
@@ -302,12 +397,16 @@ def find_spans(docs: DataFrame, *more: str) -> DataFrame:
             df = df.withColumn(f"added_{kind}", F.array().cast(_SPAN))
             continue
         df = _spans(df, "_c", PROPOSE[kind], PROPOSE_HINT[kind](F.col("text")))
+        if kind in PARTS:
+            df = df.withColumn("_c", F.concat("_c", f"_parts_{kind}")).drop(f"_parts_{kind}")
         # features once a candidate, in a column of their own: inside the trees they would be repeated at every node
         df = df.withColumn("_f", F.transform("_c", _featured(kind)))
-        good = F.transform(F.filter("_f", _selects(trees, least[kind])), lambda y: y["x"])
+        df = df.withColumn("_f", F.transform("_f", _scored(trees)))
         against = [f"base_{k}" for k in KINDS] + earlier
+        good = F.col("_f")
         for column in against:
             good = F.filter(good, _clear_of(column))
+        good = _best(good, least[kind])
         df = df.withColumn(f"added_{kind}", F.when(F.size("_c") > 0, good).otherwise(F.array().cast(_SPAN))).drop("_c", "_f")
         earlier.append(f"added_{kind}")
     return df
