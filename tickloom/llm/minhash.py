@@ -6,26 +6,28 @@ sets' Jaccard similarity is at least PERCENT / 100.
 
 1. Band keys (numpy over Arrow batches): ROWS * BANDS minima of multiply-add hashes; each band's ROWS minima give a
    64-bit key.
-2. Documents with equal sets, told by a 128-bit digest, are one class; everything below works on classes.
-3. Classes that share no bucket with another are done. The others' texts are read again for HASHES minima. These give
-   FINE_BANDS keys of FINE_ROWS minima, which dissimilar texts seldom share even if they have a passage in common; and
-   the low BITS bits of each (mixed) minimum are packed into longs: the b-bit signature. In each pivot round every bucket names one of its classes, and each class is compared with that pivot
-   with which it shares most buckets: one pair a class and round, not quadratic in a bucket's size.
+2. Documents with equal sets, told by a 128-bit digest, are one class. Classes that share no bucket with another are
+   done; the others are numbered, and everything below works on numbers.
+3. The numbered classes' texts are read again for HASHES minima. These give FINE_BANDS keys of FINE_ROWS minima, which
+   dissimilar texts seldom share even if they have a passage in common; and the low BITS bits of each (mixed) minimum
+   are packed into longs: the b-bit signature. Every fine bucket names one of its classes its pivot, and each class is
+   compared with the pivot with which it shares most buckets: one pair a class, not quadratic in a bucket's size.
 4. A comparison first estimates the similarity from the packed bits: the share of equal BITS-bit groups, corrected for
-   chance agreement, by counting bits in the JVM. Only pairs that could be similar (within 5.5 standard errors) are
-   confirmed on the full sets.
+   chance agreement, by counting bits. Only pairs that could be similar (within 5.5 standard errors) are confirmed on
+   the full sets. Pairs are numbers until then; each gets its two signatures, and later its two sets, once.
 5. Confirmed links are joined into components by label propagation with pointer jumping. Buckets whose classes still
    have different labels stay open. In them, the classes outside a bucket's largest label are compared by signature with
    all its classes of other labels, in blocks of at most BLOCK by BLOCK that spread over tasks; a pair counts in the
-   first bucket that both share. First only each class's likeliest partner is confirmed; then all likely pairs
-   that are left. So no link that any band proposes is lost; pairs that are in
-   one component already need no confirmation.
+   first bucket that both share. Of the likely pairs each class's likeliest is confirmed first; then all that are left
+   between different components. So no link that any band proposes is lost.
 
-At a similarity of 0.8 a pair meets in no band with probability (1 - 0.8**4)**32 = 5e-8, in no fine band with
+At a similarity of 0.8 a pair meets in no band with probability (1 - 0.8**4)**24 = 3e-6, in no fine band with
 probability (1 - 0.8**8)**96 = 2e-8, and less above (chance agreement of bits only adds candidates).
 
-Between steps, tables are written in the shared folder. No group is gathered in one task: buckets and classes are met
-by joins, which adaptive execution splits where a key is hot, and by aggregates that combine before the shuffle.
+Between steps, tables are written in the shared folder, and removed when they are no longer read. No group is gathered
+in one task: buckets and classes are met by joins, which adaptive execution splits where a key is hot, components by
+joins with a salt, and aggregates combine before the shuffle. What is broadcast are bitmaps of 2**FILTER_BITS bits,
+whatever the number of rows: they keep sets and texts that no pair needs from being read or shuffled.
 
 Nulls: a null text is empty. A null doc_id counts as a document of its own kind: it stays unlinked and kept. Rows with
 one doc_id and different texts are separate rows of the graph that share an id; repeated rows are exact copies (equal
@@ -42,16 +44,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, stash, texts
+from .common import batches, discard, stash, texts
 
 PERCENT = 80
-BANDS, ROWS, BITS = 32, 4, 4
+BANDS, ROWS, BITS = 24, 4, 4
 FINE_BANDS, FINE_ROWS = 96, 8
 HASHES = 2 * FINE_BANDS * FINE_ROWS
 #: 5.5 standard errors below the threshold: 0.8 - 5.5 * sqrt(p * (1 - p) / HASHES) / (1 - 1/16), p = 0.8125.
 LEAST_ESTIMATE = 0.74
 BLOCK = 512
 FILTER_BITS = 24
+#: A component's members are spread over so many join keys.
+SALTS = 16
 
 _U = np.uint64
 _rng = np.random.default_rng(20240229)
@@ -130,12 +134,8 @@ def _fine_keys(sig: Column) -> Column:
 _NIBBLE = _U(0x1111111111111111)
 
 
-def _compare_blocks(best: bool):
-    return lambda it: _compared(it, best)
-
-
-def _compared(it, best: bool):
-    """Rows (key, chunk, block, cls, label, query, sig) sorted by the first three: likely pairs (a asks) with their estimates; the best one of each asking row if best."""
+def _compare_blocks(it):
+    """Rows (key, chunk, block, num, label, query, sig) sorted by the first three: likely pairs (a asks) with their estimates."""
     held: list = []
     for batch in it:
         held.append(batch)
@@ -143,19 +143,18 @@ def _compared(it, best: bool):
         k = [table.column(c).to_numpy() for c in range(3)]
         cut = np.flatnonzero((k[0][1:] != k[0][:-1]) | (k[1][1:] != k[1][:-1]) | (k[2][1:] != k[2][:-1])) + 1
         if len(cut):
-            yield from _compare(table.slice(0, cut[-1]), np.concatenate([[0], cut]), best)
+            yield from _compare(table.slice(0, cut[-1]), np.concatenate([[0], cut]))
             held = table.slice(cut[-1]).to_batches()
     if held and sum(map(len, held)):
         table = pa.Table.from_batches(held)
-        yield from _compare(table, np.array([0, len(table)]), best)
+        yield from _compare(table, np.array([0, len(table)]))
 
 
-def _compare(table: pa.Table, bounds: np.ndarray, best: bool):
-    key, label, query = (table.column(c).to_numpy() for c in (0, 4, 5))
-    raw = table.column(3).to_pylist()
+def _compare(table: pa.Table, bounds: np.ndarray):
+    key, num, label, query = (table.column(c).to_numpy() for c in (0, 3, 4, 5))
     sig = np.array(table.column(6).combine_chunks().flatten()).view(np.uint64).reshape(len(table), -1)
     words = sig[:, : FINE_BANDS // 2].copy().view(np.uint32)
-    out: tuple[list, list, list] = ([], [], [])
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for a, b in zip(bounds[:-1], bounds[1:]):
         ask = np.flatnonzero(query[a:b] == 1) + a
         rest = np.flatnonzero(query[a:b] != 1) + a
@@ -163,41 +162,36 @@ def _compare(table: pa.Table, bounds: np.ndarray, best: bool):
             continue
         band = int(key[a]) >> 32
         for q in ask:
-            y = rest[label[rest] != label[q]]
+            y = rest[(label[rest] != label[q]) & ((query[rest] == 0) | (num[rest] > num[q]))]  # of two that ask, one
             y = y[(words[y] == words[q]).argmax(1) == band]
             if len(y):
                 d = sig[y] ^ sig[q]
                 d |= d >> _U(1)
                 d |= d >> _U(2)
-                same = HASHES - np.bitwise_count(d & _NIBBLE).sum(1)
-                about = (same / HASHES - 1 / 16) / (15 / 16)
-                pairs = [(float(e), j) for e, j in zip(about, y) if e >= LEAST_ESTIMATE and (best or query[j] == 0 or raw[j] > raw[q])]  # of two that ask, one
-                for e, j in [max(pairs)] if best and pairs else pairs:
-                    out[0].append(raw[q])
-                    out[1].append(raw[j])
-                    out[2].append(e)
-    if out[0]:
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2])], names=["a", "b", "e"])
-
-
-def _likely_pairs(members: DataFrame, sig: DataFrame, best: bool) -> DataFrame:
-    """Of open buckets (key, cls, label): every likely pair (a, b) of different labels; or each asking class's best."""
+                about = ((HASHES - np.bitwise_count(d & _NIBBLE).sum(1)) / HASHES - 1 / 16) / (15 / 16)
+                near = about >= LEAST_ESTIMATE
+                if near.any():
+                    out.append((np.full(near.sum(), num[q]), num[y[near]], about[near]))
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["a", "b", "e"])
+
+
+def _likely_pairs(members: DataFrame, sig: DataFrame) -> DataFrame:
+    """Of open buckets (key, num, label): every likely pair (a, b) of different labels, a asking, with its estimate e."""
     sizes = members.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"))
     sizes = sizes.select(F.col("key").alias("k"), F.col("top.label").alias("main"), F.ceil(F.col("n") / BLOCK).alias("blocks"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).alias("chunks"))
-    df = members.join(sizes, F.col("key") == F.col("k")).join(sig.withColumnRenamed("cls", "c"), F.col("cls") == F.col("c"))
+    df = members.join(sizes, F.col("key") == F.col("k"))
     asks = F.col("label") != F.col("main")
-    own = F.xxhash64("cls", F.lit(-1))
+    own = F.xxhash64("num", F.lit(-1))
     places = lambda n, make: F.transform(F.sequence(F.lit(0).cast("long"), n - 1), make)
     deal = lambda chunk, block, role: F.struct(chunk.alias("chunk"), block.alias("block"), role.alias("role"))
     # role 1 asks; roles 0 (of the main label) and 2 (that ask elsewhere) answer
     ask = places(F.col("blocks"), lambda k: deal(F.pmod(own, F.col("chunks")), k, F.lit(1)))
     answer = places(F.col("chunks"), lambda k: deal(k, F.pmod(own, F.col("blocks")), F.when(asks, 2).otherwise(0)))
-    df = df.select("key", "cls", F.xxhash64("label").alias("tag"), "sig", F.explode(F.when(asks, F.concat(ask, answer)).otherwise(answer)).alias("d"))
-    dealt = df.select("key", "d.chunk", "d.block", "cls", "tag", "d.role", "sig").repartition("key", "chunk", "block").sortWithinPartitions("key", "chunk", "block")
-    found = batches(dealt).mapInArrow(_compare_blocks(best), "a binary, b binary, e double")
-    if best:
-        found = found.groupBy("a").agg(F.max(F.struct("e", "b"))["b"].alias("b"))
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    df = df.select("key", "num", "label", F.explode(F.when(asks, F.concat(ask, answer)).otherwise(answer)).alias("d"))
+    df = df.join(sig.withColumnRenamed("num", "c"), F.col("num") == F.col("c"))
+    dealt = df.select("key", "d.chunk", "d.block", "num", "label", "d.role", "sig").repartition("key", "chunk", "block").sortWithinPartitions("key", "chunk", "block")
+    return batches(dealt).mapInArrow(_compare_blocks, "a long, b long, e double")
 
 
 _SIGNATURE_SCHEMA = "doc_id long, n_shingles long, cls binary, bands array<long>"
@@ -242,11 +236,15 @@ def _sets(words: int):
     longs = pa.list_(pa.int64())
 
     def run(it):
-        shingler = Shingler(words)
+        shingler, seen = Shingler(words), set()
         for _, found in _pieces(it):
-            sets = [s for s in map(shingler, found) if len(s)]
+            sets = {_digest(s): s for s in map(shingler, found) if len(s)}
+            sets = {d: s for d, s in sets.items() if d not in seen}  # copies in one task: once
+            seen.update(sets)
+            if len(seen) > 1 << 18:
+                seen.clear()
             if sets:
-                yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array(list(packed_bits(sets)), longs), pa.array([s.view(np.int64) for s in sets], longs)], names=["cls", "sig", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.binary()), pa.array(list(packed_bits(list(sets.values()))), longs), pa.array([s.view(np.int64) for s in sets.values()], longs)], names=["cls", "sig", "shingles"])
 
     return run
 
@@ -265,31 +263,42 @@ def _confirm(it):
 def estimate(a: Column, b: Column) -> Column:
     """The similarity that two packed signatures tell: equal BITS-bit groups, less those expected by chance."""
 
-    def equal(x, y):
+    def differ(x, y):
         d = x.bitwiseXOR(y)
         for shift in (1, 2):
             d = d.bitwiseOR(F.shiftrightunsigned(d, shift))
-        return 64 // BITS - F.bit_count(d.bitwiseAND(F.lit(0x1111111111111111)))
+        return F.bit_count(d.bitwiseAND(F.lit(0x1111111111111111)))
 
-    longs = HASHES * BITS // 64
-    same = sum((equal(a[k], b[k]) for k in range(1, longs)), equal(a[0], b[0]))
+    same = F.lit(HASHES) - F.aggregate(F.zip_with(a, b, differ), F.lit(0), lambda s, x: s + x)
     chance = 1.0 / (1 << BITS)
     return (same / HASHES - chance) / (1 - chance)
 
 
+def _salted(rows: DataFrame, key: str, by: str, small: DataFrame) -> DataFrame:
+    """rows left-joined with small (k, and what it gives a key) on key = k; rows of one key are spread over SALTS places by the column by."""
+    spread = small.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    dealt = rows.withColumn("_place", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    return dealt.join(spread, (F.col(key) == F.col("k")) & (F.col("_place") == F.col("_salt")), "left").drop("k", "_salt", "_place")
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(cls, label) of every node of undirected edges (a, b): equal labels within a component, by the least node."""
+    """(num, label) of every node of undirected edges (a, b): equal labels within a component, by the least node."""
     both = stash(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
-    labels = stash(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("cls"), F.least("a", "m").alias("label")), "cc-labels")
+    labels = stash(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("num"), F.least("a", "m").alias("label")), "cc-labels")
     while True:
-        near = both.join(labels, both["b"] == labels["cls"]).groupBy("a").agg(F.min("label").alias("m"))
-        new = labels.join(near, labels["cls"] == near["a"]).select("cls", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        jump = new.select(F.col("cls").alias("c"), F.col("label").alias("further"))
-        new = stash(new.join(jump, F.col("label") == F.col("c")).select("cls", "old", F.least("label", "further").alias("label")), "cc-labels")
-        changed = new.where("label <> old").limit(1).count()
-        labels = new.select("cls", "label")
+        near = both.join(labels, both["b"] == labels["num"]).groupBy("a").agg(F.min("label").alias("m"))
+        new = stash(labels.join(near, labels["num"] == near["a"]).select("num", F.col("label").alias("old"), F.least("label", "m").alias("label")), "cc-near")
+        # only labels that moved are asked for: where each of them points now
+        asked = new.where("label <> old").groupBy("label").agg(F.count("*").alias("_n"))
+        jump = new.select(F.col("num").alias("c"), F.col("label").alias("further"))
+        jump = asked.join(jump, F.col("label") == F.col("c")).where("further < label").select(F.col("label").alias("k"), "further")
+        after = stash(_salted(new, "label", "num", jump).select("num", "old", F.coalesce("further", "label").alias("label")), "cc-labels")
+        changed = after.where("label <> old").limit(1).count()
+        discard(labels, new)
+        labels = after
         if not changed:
-            return labels
+            discard(both)
+            return labels.select("num", "label")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, name: str = "minhash") -> DataFrame:
@@ -297,81 +306,88 @@ def near_duplicates(docs: DataFrame, words: int = 5, name: str = "minhash") -> D
     raw = texts(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
     signed = stash(batches(raw).mapInArrow(_sign(words), _SIGNATURE_SCHEMA), f"{name}-signed")
     real = signed.where("cls is not null and doc_id is not null")
+    tag = F.xxhash64("cls")
+    needed = _meeting(real.select(tag.alias("num"), F.explode("bands").alias("key"))).select(F.col("num").alias("tag")).distinct()
     first = real.groupBy("cls").agg(F.min("doc_id").alias("first"))
-    needed = _meeting(real.select("cls", F.explode("bands").alias("key"))).select("cls").distinct()
-    links = _links(docs, words, stash(first.join(needed, "cls"), f"{name}-classes"), name)
+    info = stash(first.join(needed, tag == F.col("tag")).select("cls", "first", F.monotonically_increasing_id().alias("num")), f"{name}-classes")
+    links = _links(docs, words, info, name)
+    rows = real.select("doc_id", "n_shingles", "cls")
     if links is None:
-        found = first.select("cls", F.col("first").alias("component_id"))
+        found = first
     else:
-        labels = first.join(links, "cls", "left").select("cls", "first", F.coalesce("label", "cls").alias("label"))
-        least = labels.groupBy("label").agg(F.min("first").alias("component_id"))
-        found = labels.join(least, "label").select("cls", "component_id")
-    linked = real.select("doc_id", "n_shingles", "cls").join(found, "cls").select("doc_id", "n_shingles", "component_id")
+        linked = info.join(links, "num").select("cls", "num", "first", "label")
+        least = linked.groupBy("label").agg(F.min("first").alias("least")).withColumnRenamed("label", "k")
+        moved = _salted(linked, "label", "num", least).select(F.col("cls").alias("c"), F.col("least"))
+        found = first.join(moved, F.col("cls") == F.col("c"), "left").select("cls", F.coalesce("least", "first").alias("first"))
+    found = rows.join(found, "cls").select("doc_id", "n_shingles", F.col("first").alias("component_id"))
     alone = signed.where("cls is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return found.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def _meeting(buckets: DataFrame) -> DataFrame:
-    """Of (cls, key), the distinct rows of keys that hold at least two classes."""
-    several = buckets.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select(F.col("key").alias("k"))
-    return buckets.join(several, F.col("key") == F.col("k")).select("key", "cls").distinct()
+    """Of (num, key), the distinct rows of keys that hold at least two numbers."""
+    several = buckets.groupBy("key").agg(F.min("num").alias("lo"), F.max("num").alias("hi")).where("lo <> hi").select(F.col("key").alias("k"))
+    return buckets.join(several, F.col("key") == F.col("k")).select("key", "num").distinct()
+
+
+def _may_be_in(rows: DataFrame, column: str, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose column is among the keys of wanted, and some more by chance, without a shuffle of rows.
+
+    The keys are marked in a bitmap of 2**FILTER_BITS bits, whatever their number (at most 2**(FILTER_BITS - 6) rows of
+    two longs are broadcast); rows that pass by chance cost time, not correctness.
+    """
+    place = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    bit = lambda c: F.expr(f"shiftleft(1L, cast({c} & 63 as int))")
+    marks = wanted.select(place(key).alias("_q")).select(F.shiftrightunsigned("_q", 6).alias("_word"), bit("_q").alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_marks"))
+    placed = rows.withColumn("_p", place(column))
+    hit = placed.join(F.broadcast(marks), F.shiftrightunsigned("_p", 6) == F.col("_word"))
+    return hit.where(F.col("_marks").bitwiseAND(bit("_p")) != 0).select(*rows.columns)
+
+
+def _with_both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """pairs (a, b) with the column of both classes, as one and two; pairs is a written table."""
+    side = lambda k, out: _may_be_in(sets.select("num", column), "num", pairs, k).select(F.col("num").alias(f"_{k}"), F.col(column).alias(out))
+    return pairs.select("a", "b").join(side("a", "one"), F.col("a") == F.col("_a")).join(side("b", "two"), F.col("b") == F.col("_b")).select("a", "b", "one", "two")
 
 
 def _links(docs: DataFrame, words: int, info: DataFrame, name: str) -> DataFrame | None:
-    """(cls, label) of all classes that have a link, or None if no bucket holds two classes; info: cls and first doc_id."""
-    made = _needed_texts(docs, info).mapInArrow(_sets(words), "cls binary, sig array<long>, shingles array<long>")
-    sets = stash(made.join(info, "cls", "left_semi").dropDuplicates(["cls"]), f"{name}-sets")
-    active = stash(_meeting(sets.select("cls", F.explode(_fine_keys(F.col("sig"))).alias("key"))), f"{name}-active")
+    """(num, label) of all classes that have a link, or None if no bucket holds two classes; info: cls, first doc_id and num."""
+    rows = texts(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
+    made = batches(_may_be_in(rows, "doc_id", info, "first")).mapInArrow(_sets(words), "cls binary, sig array<long>, shingles array<long>")
+    sets = stash(made.join(info.select("cls", "num"), "cls").dropDuplicates(["cls"]).select("num", "sig", "shingles"), f"{name}-sets")
+    active = stash(_meeting(sets.select("num", F.explode(_fine_keys(F.col("sig"))).alias("key"))), f"{name}-active")
     if not active.limit(1).count():
+        discard(sets, active)
         return None
-    sig = sets.select("cls", "sig")
-    ends = active.groupBy("key").agg(F.min("cls").alias("pivot")).withColumnRenamed("key", "k")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        one, two = (sets.select(F.col("cls").alias(f"_{k}"), F.col("shingles").alias(f"shingles_{k}")) for k in "ab")
-        full = pairs.join(one, F.col("a") == F.col("_a")).join(two, F.col("b") == F.col("_b")).select("a", "b", "shingles_a", "shingles_b")
-        return stash(batches(full).mapInArrow(_confirm, "a binary, b binary"), f"{name}-links")
-
-    def likely(pairs: DataFrame) -> DataFrame:
-        one, two = (sig.select(F.col("cls").alias(f"_{k}"), F.col("sig").alias(f"sig_{k}")) for k in "ab")
-        full = pairs.join(one, F.col("a") == F.col("_a")).join(two, F.col("b") == F.col("_b"))
-        return full.where(estimate(F.col("sig_a"), F.col("sig_b")) >= LEAST_ESTIMATE).select("a", "b")
-
-    def best(met: DataFrame) -> DataFrame:
-        """For each class the one pivot with which it shares most buckets, so one pair a class and round."""
-        counted = met.groupBy("cls", "pivot").agg(F.count("*").alias("n"))
-        top = counted.groupBy("cls").agg(F.max(F.struct("n", "pivot"))["pivot"].alias("pivot"))
-        return top.select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()
-
-    met = active.join(ends, F.col("key") == F.col("k")).where("cls <> pivot").select("cls", "pivot")
-    edges = confirmed(likely(best(met)))
-    def still_open(members: DataFrame, edges: DataFrame) -> DataFrame:
-        labels = components(edges).withColumnRenamed("cls", "c")
-        labelled = members.join(labels, F.col("cls") == F.col("c"), "left").select("key", "cls", F.coalesce("label", "cls").alias("label"))
-        mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(F.col("key").alias("k"))
-        return stash(labelled.join(mixed, F.col("key") == F.col("k")).select("key", "cls", "label"), f"{name}-open")
-
-    opened = still_open(active, edges)
-    more = confirmed(_likely_pairs(opened, sig, best=True))
-    joined = more.count() * 10 >= edges.count()
-    edges = stash(edges.unionByName(more), f"{name}-edges")
-    if joined:  # else few pairs became needless
-        opened = still_open(opened.select("key", "cls"), edges)
-    return components(edges.unionByName(confirmed(_likely_pairs(opened, sig, best=False))))
-
-
-def _needed_texts(docs: DataFrame, info: DataFrame) -> DataFrame:
-    """(doc_id, text) of rows that may be the first document of a needed class, without a shuffle of texts.
-
-    The documents wanted are marked in a bitmap of 2**FILTER_BITS bits, whatever their number (at most
-    2**(FILTER_BITS - 6) rows of two longs are broadcast); rows that pass by chance cost time, not correctness.
-    """
-    place = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    bit = lambda c: F.expr(f"shiftleft(1L, cast({c} & 63 as int))")
-    marks = info.select(place("first").alias("p")).select(F.shiftrightunsigned("p", 6).alias("word"), bit("p").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("marks"))
-    rows = texts(docs).select("doc_id", F.col("text").cast("binary").alias("text"), place("doc_id").alias("p"))
-    hit = rows.join(F.broadcast(marks), F.shiftrightunsigned("p", 6) == F.col("word")).where(F.col("marks").bitwiseAND(bit("p")) != 0)
-    return batches(hit.select("doc_id", "text"))
+        pairs = stash(pairs, f"{name}-likely")
+        found = stash(batches(_with_both(pairs, sets, "shingles")).mapInArrow(_confirm, "a long, b long"), f"{name}-links")
+        discard(pairs)
+        return found
+
+    # round one: each class with the pivot that it shares most buckets with
+    ends = active.groupBy("key").agg(F.min("num").alias("pivot")).withColumnRenamed("key", "k")
+    met = active.join(ends, F.col("key") == F.col("k")).where("num <> pivot").groupBy("num", "pivot").agg(F.count("*").alias("n"))
+    top = met.groupBy("num").agg(F.max(F.struct("n", "pivot"))["pivot"].alias("pivot"))
+    near = stash(top.select(F.least("num", "pivot").alias("a"), F.greatest("num", "pivot").alias("b")).distinct(), f"{name}-pivots")
+    edges = confirmed(_with_both(near, sets, "sig").where(estimate(F.col("one"), F.col("two")) >= LEAST_ESTIMATE).select("a", "b"))
+    labels = components(edges)
+    # what stays open
+    named = labels.withColumnRenamed("num", "c")
+    labelled = active.join(named, F.col("num") == F.col("c"), "left").select("key", "num", F.coalesce("label", "num").alias("label"))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(F.col("key").alias("k"))
+    opened = stash(labelled.join(mixed, F.col("key") == F.col("k")).select("key", "num", "label"), f"{name}-open")
+    likely = stash(_likely_pairs(opened, sets.select("num", "sig")), f"{name}-open-pairs")
+    discard(opened, active, near)
+    more = confirmed(likely.groupBy("a").agg(F.max(F.struct("e", "b"))["b"].alias("b")))
+    labels = components(edges.unionByName(more))
+    ends = lambda k: labels.select(F.col("num").alias(f"_{k}"), F.col("label").alias(f"label_{k}"))
+    apart = likely.select("a", "b").join(ends("a"), F.col("a") == F.col("_a"), "left").join(ends("b"), F.col("b") == F.col("_b"), "left")
+    rest = confirmed(apart.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b").distinct())
+    labels = components(edges.unionByName(more).unionByName(rest))
+    discard(sets, likely, edges, more, rest)
+    return labels
 
 
 def op4_minhash(spark, sf_dir: str) -> DataFrame:
