@@ -80,7 +80,7 @@ def test_base_score_and_held_out(spark, docs, odd):
     assert all(math.isfinite(r.score) and r.score < 0 for r in got)
 
 
-def test_attention_is_causal_and_a_distribution():
+def test_attention_is_causal_and_a_distribution(monkeypatch):
     r = np.random.default_rng(2)
     m = lm.Model(200)
     m.emit = r.dirichlet(np.ones(200), lm.COMPONENTS).T.astype(np.float32)
@@ -91,24 +91,90 @@ def test_attention_is_causal_and_a_distribution():
     assert np.allclose(m.symbol_logs([t])[:60], m.symbol_logs([u])[:60], atol=1e-5)
     given, target, real, follows = m.windows([t])
     gate, _ = m.attend(given, follows)
+    gate /= gate.sum(2, keepdims=True)
     assert np.allclose((gate.reshape(-1, lm.COMPONENTS) @ m.emit.T).sum(1), 1, atol=1e-4)
     plain = np.log10(np.einsum("abk,abk->ab", gate, m.emit[target]))[real]
     assert np.allclose(plain, m.symbol_logs([t]), atol=1e-4) and real.sum() == len(t)
-    assert np.allclose(m.log10([t, u]), [m.log10([t])[0], m.log10([u])[0]], atol=1e-3)
+    starts = np.array([0, 17, 40, 100, 179])
+    logs, states = m.symbol_logs([t, u], starts)
+    assert np.allclose(logs, np.concatenate([m.symbol_logs([t]), m.symbol_logs([u])]), atol=1e-5) and len(states) == 5
+    monkeypatch.setattr(lm, "ROWS", 2)  # long texts in slices: the same
+    again, same = m.symbol_logs([t, u], starts)
+    assert np.allclose(logs, again, atol=1e-5) and (states == same).all()
+
+
+def test_gradients_of_slices_add_up(monkeypatch):
+    r = np.random.default_rng(3)
+    m = lm.Model(50)
+    m.emit = r.dirichlet(np.ones(50), lm.COMPONENTS).T.astype(np.float32)
+    texts = [np.append(r.integers(0, 49, n), 49).astype(np.int32) for n in (90, 3, 40)]
+
+    def total():
+        out = np.zeros((50, lm.SUMS))
+        for _, given, target, real, follows in m.slices(texts):
+            share, _, tables, _ = m.gradients(given, target, real, follows)
+            hit, sums = lm.by_id(given, target, share, tables)
+            out[hit] += sums
+        return out
+
+    whole = total()
+    assert np.allclose(whole[:, : lm.COMPONENTS].sum(1), np.bincount(np.concatenate(texts), minlength=50), atol=1e-3)
+    monkeypatch.setattr(lm, "ROWS", 2)
+    assert np.allclose(whole, total(), atol=1e-3)
+    x = np.concatenate(texts)
+    at, step = int(x[5]), 1e-2  # against a difference quotient
+    before = m.symbol_logs(texts).sum() * math.log(10)
+    m.q[at, 0] += step
+    after = m.symbol_logs(texts).sum() * math.log(10)
+    assert (after - before) / step == pytest.approx(whole[at, lm.COMPONENTS], abs=0.05)
 
 
 def test_training_learns_order():
     text = np.array(([1, 2, 3, 4] * 30) + [9], np.int32)
     m = lm.train([text] * 40, 10)
     flat = np.log10(lm.unigram(np.bincount(text, minlength=10).astype(float)))[text].sum()
-    assert m.log10([text])[0] > flat + 20
+    assert m.symbol_logs([text]).sum() > flat + 20
+
+
+def test_words_are_a_distribution():
+    words, r = [b"a", b"b", lm.END_WORD], np.random.default_rng(4)
+    n = np.array([5, 3, 2])
+    by_state = np.zeros((3, lm.COMPONENTS))
+    by_state[:, 1] = n
+    states = by_state.sum(0)
+    head = lm.Words(words, n, by_state, 10, 0.0, states)
+    for state in (0, 1, 7):
+        assert head.whole(np.arange(3), np.full(3, state)).sum() == pytest.approx(1)
+    numbers = r.integers(0, 4, 50)
+    assert lm.earlier(numbers).tolist() == [int((numbers[:i] == x).sum()) for i, x in enumerate(numbers)]
+    for at in (0, 1, 30):  # four words of known probability, of which three are spelt
+        before = np.array([at - at // 3, at // 3, 0, 0])
+        p = 10.0 ** lm.drawn(np.log10([0.2, 0.3, 0.4, 0.1]), np.full(4, at), before, np.array([0.5, 0.3, 0.2, 0]))
+        share = lm.copied(np.array([at]), np.array([0]))[0][0]
+        assert p.sum() == pytest.approx(1 if at else 1 - share)
+
+
+def test_sums_are_of_all_training_texts(docs, monkeypatch):
+    seen, put = [], lm.improve
+    monkeypatch.setattr(lm, "improve", lambda model, ids, sums: (seen.append(sums[ids >= 0, : lm.COMPONENTS].sum()), put(model, ids, sums))[1])
+    rows = lm.score_texts(docs.limit(60)).collect()
+    assert seen[-1] == pytest.approx(sum(r.n_subwords for r in rows if not r.held_out), rel=1e-3)
 
 
-def test_emissions_come_from_all_training_texts(spark, docs, monkeypatch):
-    masses, put = [], lm.Model.set_emissions
-    monkeypatch.setattr(lm.Model, "set_emissions", lambda self, counts, base: (masses.append(counts.sum()), put(self, counts, base))[1])
-    rows = lm.score_texts(docs.limit(60)).collect()
-    assert masses[-1] == pytest.approx(sum(r.n_subwords for r in rows if not r.held_out), rel=1e-3)
+def test_held_out_texts_score_above_the_base(spark):
+    rows = lm.score_texts(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").select(F.sum("score"), F.sum("base_score")).first()
+    assert rows[0] > rows[1] + 10_000
+
+
+def test_texts_that_occur_twice_score_apart(spark):
+    r = random.Random(12)
+    text = lambda: " ".join(r.choice("abcdefgh") + r.choice("aeiou") + r.choice("klmnop") for _ in range(80))
+    rows = [(i, text()) for i in range(60)]
+    rows += [(100 + i, t) for i, t in rows[:10]]
+    got = {x.doc_id: x.score / x.n_tokens for x in lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    twice = [x for i in range(10) for a, b in ((i, 100 + i), (100 + i, i)) if not held(b) for x in [got[a]]]
+    assert min(twice) > max(got[i] for i in range(10, 60)) + 0.3
 
 
 def test_rare_words_are_scored_by_the_same_rule(docs, monkeypatch):
@@ -130,12 +196,16 @@ def test_the_end_is_known_whatever_the_head(docs, monkeypatch):
 def test_weights_come_from_all_training_texts_in_any_order(spark, docs, monkeypatch):
     monkeypatch.setattr(lm, "SAMPLE_DOCS", 2)
     learn = docs.limit(40).select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    counts = learn.select(F.explode(F.split(F.col("text").cast("string"), " ")).alias("word")).select(F.col("word").cast("binary"), F.lit(1).cast("long").alias("n"))
-    a, b = lm.fit(learn, counts), lm.fit(learn.orderBy(F.desc("doc_id")), counts)
+    (a, counts, blocks), (b, _, _) = lm.fit(learn, lm.VOCABULARY), lm.fit(learn.orderBy(F.desc("doc_id")), lm.VOCABULARY)
     ids = lm.Ids(lm.VOCABULARY)
-    seen = {int(x) for r in learn.collect() for x in ids.ids(ids.numbers(lm._words(bytes(r.text))))}
+    texts = [lm._words(bytes(r.text)) for r in learn.collect()]
+    seen = {int(x) for t in texts for x in ids.ids(ids.numbers(t))}
     assert a.gate[sorted(seen)].any(1).all()
     assert np.allclose(a.gate, b.gate, atol=1e-3)
+    want = Counter(w for t in texts for w in (*t, lm.END_WORD))
+    rows = {bytes(r.word): r for r in counts.collect()}
+    assert {w: r.n for w, r in rows.items()} == dict(want) and all(sum(x.times for x in r.by_state) == r.n for r in rows.values())
+    assert {r.phrase: r.n for r in blocks.collect()} == Counter(h for t in texts for h in lm.phrases(t))
 
 
 # --- 2: personal data ---
