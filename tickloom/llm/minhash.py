@@ -13,13 +13,13 @@ sets' Jaccard similarity is at least PERCENT / 100.
    are packed into longs: the b-bit signature. Every fine bucket names one of its classes its pivot, and each class is
    compared with the pivot with which it shares most buckets: one pair a class, not quadratic in a bucket's size.
 4. A comparison first estimates the similarity from the packed bits: the share of equal BITS-bit groups, corrected for
-   chance agreement, by counting bits. Only pairs that could be similar (within 5.5 standard errors) are confirmed on
+   chance agreement, by counting bits. Only pairs that could be similar (within 4.5 standard errors) are confirmed on
    the full sets. Pairs are numbers until then; each gets its two signatures, and later its two sets, once.
 5. Confirmed links are joined into components by label propagation with pointer jumping. Buckets whose classes still
    have different labels stay open. In them, the classes outside a bucket's largest label are compared by signature with
    all its classes of other labels, in blocks of at most BLOCK by BLOCK that spread over tasks; a pair counts in the
-   first bucket that both share. Of the likely pairs each class's likeliest is confirmed first; then all that are left
-   between different components. So no link that any band proposes is lost.
+   first bucket that both share. First only each class's likeliest partner is confirmed; then, in the buckets that are
+   still open after that, all likely pairs of different components. So no link that any band proposes is lost.
 
 At a similarity of 0.8 a pair meets in no band with probability (1 - 0.8**4)**24 = 3e-6, in no fine band with
 probability (1 - 0.8**8)**96 = 2e-8, and less above (chance agreement of bits only adds candidates).
@@ -50,8 +50,8 @@ PERCENT = 80
 BANDS, ROWS, BITS = 24, 4, 4
 FINE_BANDS, FINE_ROWS = 96, 8
 HASHES = 2 * FINE_BANDS * FINE_ROWS
-#: 5.5 standard errors below the threshold: 0.8 - 5.5 * sqrt(p * (1 - p) / HASHES) / (1 - 1/16), p = 0.8125.
-LEAST_ESTIMATE = 0.74
+#: 4.5 standard errors below the threshold: 0.8 - 4.5 * sqrt(p * (1 - p) / HASHES) / (1 - 1/16), p = 0.8125.
+LEAST_ESTIMATE = 0.752
 BLOCK = 512
 FILTER_BITS = 24
 #: A component's members are spread over so many join keys.
@@ -134,8 +134,13 @@ def _fine_keys(sig: Column) -> Column:
 _NIBBLE = _U(0x1111111111111111)
 
 
-def _compare_blocks(it):
-    """Rows (key, chunk, block, num, label, query, sig) sorted by the first three: likely pairs (a asks) with their estimates."""
+def _compare_blocks(best: bool):
+    return lambda it: _compared(it, best)
+
+
+def _compared(it, best: bool):
+    """Rows (key, chunk, block, num, label, query, sig) sorted by the first three: likely pairs (a asks) with their estimates; of
+    each asking row and block the likeliest one if best."""
     held: list = []
     for batch in it:
         held.append(batch)
@@ -143,14 +148,14 @@ def _compare_blocks(it):
         k = [table.column(c).to_numpy() for c in range(3)]
         cut = np.flatnonzero((k[0][1:] != k[0][:-1]) | (k[1][1:] != k[1][:-1]) | (k[2][1:] != k[2][:-1])) + 1
         if len(cut):
-            yield from _compare(table.slice(0, cut[-1]), np.concatenate([[0], cut]))
+            yield from _compare(table.slice(0, cut[-1]), np.concatenate([[0], cut]), best)
             held = table.slice(cut[-1]).to_batches()
     if held and sum(map(len, held)):
         table = pa.Table.from_batches(held)
-        yield from _compare(table, np.array([0, len(table)]))
+        yield from _compare(table, np.array([0, len(table)]), best)
 
 
-def _compare(table: pa.Table, bounds: np.ndarray):
+def _compare(table: pa.Table, bounds: np.ndarray, best: bool):
     key, num, label, query = (table.column(c).to_numpy() for c in (0, 3, 4, 5))
     sig = np.array(table.column(6).combine_chunks().flatten()).view(np.uint64).reshape(len(table), -1)
     words = sig[:, : FINE_BANDS // 2].copy().view(np.uint32)
@@ -162,22 +167,25 @@ def _compare(table: pa.Table, bounds: np.ndarray):
             continue
         band = int(key[a]) >> 32
         for q in ask:
-            y = rest[(label[rest] != label[q]) & ((query[rest] == 0) | (num[rest] > num[q]))]  # of two that ask, one
+            other = label[rest] != label[q]
+            y = rest[other if best else other & ((query[rest] == 0) | (num[rest] > num[q]))]  # of two that ask, one
             y = y[(words[y] == words[q]).argmax(1) == band]
             if len(y):
                 d = sig[y] ^ sig[q]
                 d |= d >> _U(1)
                 d |= d >> _U(2)
                 about = ((HASHES - np.bitwise_count(d & _NIBBLE).sum(1)) / HASHES - 1 / 16) / (15 / 16)
-                near = about >= LEAST_ESTIMATE
-                if near.any():
-                    out.append((np.full(near.sum(), num[q]), num[y[near]], about[near]))
+                near = np.flatnonzero(about >= LEAST_ESTIMATE)
+                if best and len(near):
+                    near = np.array([about.argmax()])
+                if len(near):
+                    out.append((np.full(len(near), num[q]), num[y[near]], about[near]))
     if out:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["a", "b", "e"])
 
 
-def _likely_pairs(members: DataFrame, sig: DataFrame) -> DataFrame:
-    """Of open buckets (key, num, label): every likely pair (a, b) of different labels, a asking, with its estimate e."""
+def _likely_pairs(members: DataFrame, sig: DataFrame, best: bool) -> DataFrame:
+    """Of open buckets (key, num, label): every likely pair (a, b) of different labels, or each asking class's likeliest."""
     sizes = members.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"))
     sizes = sizes.select(F.col("key").alias("k"), F.col("top.label").alias("main"), F.ceil(F.col("n") / BLOCK).alias("blocks"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).alias("chunks"))
     df = members.join(sizes, F.col("key") == F.col("k"))
@@ -191,7 +199,10 @@ def _likely_pairs(members: DataFrame, sig: DataFrame) -> DataFrame:
     df = df.select("key", "num", "label", F.explode(F.when(asks, F.concat(ask, answer)).otherwise(answer)).alias("d"))
     df = df.join(sig.withColumnRenamed("num", "c"), F.col("num") == F.col("c"))
     dealt = df.select("key", "d.chunk", "d.block", "num", "label", "d.role", "sig").repartition("key", "chunk", "block").sortWithinPartitions("key", "chunk", "block")
-    return batches(dealt).mapInArrow(_compare_blocks, "a long, b long, e double")
+    found = batches(dealt).mapInArrow(_compare_blocks(best), "a long, b long, e double")
+    if best:
+        found = found.groupBy("a").agg(F.max(F.struct("e", "b"))["b"].alias("b"))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 _SIGNATURE_SCHEMA = "doc_id long, n_shingles long, cls binary, bands array<long>"
@@ -372,21 +383,20 @@ def _links(docs: DataFrame, words: int, info: DataFrame, name: str) -> DataFrame
     top = met.groupBy("num").agg(F.max(F.struct("n", "pivot"))["pivot"].alias("pivot"))
     near = stash(top.select(F.least("num", "pivot").alias("a"), F.greatest("num", "pivot").alias("b")).distinct(), f"{name}-pivots")
     edges = confirmed(_with_both(near, sets, "sig").where(estimate(F.col("one"), F.col("two")) >= LEAST_ESTIMATE).select("a", "b"))
-    labels = components(edges)
-    # what stays open
-    named = labels.withColumnRenamed("num", "c")
-    labelled = active.join(named, F.col("num") == F.col("c"), "left").select("key", "num", F.coalesce("label", "num").alias("label"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(F.col("key").alias("k"))
-    opened = stash(labelled.join(mixed, F.col("key") == F.col("k")).select("key", "num", "label"), f"{name}-open")
-    likely = stash(_likely_pairs(opened, sets.select("num", "sig")), f"{name}-open-pairs")
-    discard(opened, active, near)
-    more = confirmed(likely.groupBy("a").agg(F.max(F.struct("e", "b"))["b"].alias("b")))
-    labels = components(edges.unionByName(more))
-    ends = lambda k: labels.select(F.col("num").alias(f"_{k}"), F.col("label").alias(f"label_{k}"))
-    apart = likely.select("a", "b").join(ends("a"), F.col("a") == F.col("_a"), "left").join(ends("b"), F.col("b") == F.col("_b"), "left")
-    rest = confirmed(apart.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b").distinct())
+
+    def still_open(members: DataFrame, edges: DataFrame) -> DataFrame:
+        labels = components(edges).withColumnRenamed("num", "c")
+        labelled = members.join(labels, F.col("num") == F.col("c"), "left").select("key", "num", F.coalesce("label", "num").alias("label"))
+        mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(F.col("key").alias("k"))
+        return stash(labelled.join(mixed, F.col("key") == F.col("k")).select("key", "num", "label"), f"{name}-open")
+
+    sig = sets.select("num", "sig")
+    opened = still_open(active, edges)
+    more = confirmed(_likely_pairs(opened, sig, best=True))
+    again = still_open(opened.select("key", "num"), edges.unionByName(more))
+    rest = confirmed(_likely_pairs(again, sig, best=False))
     labels = components(edges.unionByName(more).unionByName(rest))
-    discard(sets, likely, edges, more, rest)
+    discard(sets, active, near, opened, again, edges, more, rest)
     return labels
 
 
