@@ -6,9 +6,9 @@
    is the lower envelope of lines and each layer takes one sweep.
 3. Within its bucket a document has a place (MD5 order of doc_id); max(1, budget // bound) documents form a batch.
 
-The driver holds only the histogram. Lengths to EXACT_LENGTHS are bounds of their own; above, bounds have 12 binary
-digits, so the histogram has at most EXACT_LENGTHS + 2048 rows a doubling, whatever the corpus. Places come from
-sliced running totals, so a bucket with most rows is spread over many tasks.
+The driver holds only the histogram, a row a distinct length, so as many as the longest text has words at most and far
+fewer than documents; the sweeps cost a few microseconds a row. Every length is a bound that can be chosen: bounds are
+optimal for the whole corpus. Places come from sliced running totals, so a bucket with most rows is spread over many tasks.
 
 A null text has no tokens; such documents go to the shortest bucket. No row is dropped or cut: a document longer than
 the budget is a batch of its own. Repeated rows take places of their own. An empty table gives an empty result.
@@ -23,7 +23,6 @@ from .common import n_words, running_total, stash, uniform
 
 BUCKETS = 8
 BUDGET = 65536
-EXACT_LENGTHS = 65536
 SEED = "pack"
 
 
@@ -67,19 +66,12 @@ def optimal_bounds(lengths: list[int], counts: list[int], buckets: int = BUCKETS
     return bounds[::-1]
 
 
-def _bound(length):
-    """The smallest allowed bound that holds a length: itself, or rounded up to 12 binary digits."""
-    step = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double"))) - 11)
-    return F.when(length <= EXACT_LENGTHS, length).otherwise((F.ceil(length / step) * step).cast("long"))
-
-
 def pack(docs: DataFrame, tokens=None, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """The operator: doc_id, n_tokens, bucket, bucket_tokens (its bound), batch (number within the bucket), place (within the batch)."""
     tokens = n_words(F.coalesce("text", F.lit(""))) if tokens is None else tokens
     sized = stash(docs.select("doc_id", tokens.cast("long").alias("n_tokens")), "pack-sizes")
-    sized = sized.withColumn("_bound", _bound(F.col("n_tokens")))
-    histogram = sorted((r["_bound"], r["n"]) for r in sized.groupBy("_bound").agg(F.count("*").alias("n")).collect())
-    bounds = optimal_bounds([x for x, _ in histogram], [n for _, n in histogram], buckets)
+    histogram = sized.groupBy("n_tokens").agg(F.count("*").alias("n")).toArrow().sort_by("n_tokens")
+    bounds = optimal_bounds(histogram.column("n_tokens").to_pylist(), histogram.column("n").to_pylist(), buckets)
     bucket = F.lit(len(bounds) - 1)
     limit = F.lit(bounds[-1] if bounds else 0).cast("long")
     for k in reversed(range(len(bounds) - 1)):
