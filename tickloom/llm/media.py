@@ -7,10 +7,11 @@ highest bit rate and the last one the lowest that holds the rest. Each frame has
 
 ``parse`` reads any MPEG-1, 2 or 2.5 stream of layers I to III: it skips ID3v2 and ID3v1 tags, walks frame headers,
 resynchronises after damage (a header counts if another header or the end follows its frame), reads the
-variable-bitrate table, verifies the CRC of Layer III frames that have one, and returns exact durations (samples over
+variable-bitrate table, verifies the CRC of Layer I and III frames that have one, and returns exact durations (samples over
 rate) and every frame's byte offset.
 
-One pass, no shuffle. A null text is empty and is stored as 192 spaces; repeated rows are stored one by one; empty
+``to_media`` writes the streams as a table with a binary column in the shared folder, and what is read back from there is
+parsed: no shuffle. A null text is empty and is stored as 192 spaces; repeated rows are stored one by one; empty
 tables give empty results; other columns are ignored.
 """
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, texts
+from .common import batches, stash, texts
 
 UNIT = 192
 # Fixed values of the MPEG audio standards: kilobits a second by header index, and sampling rates.
@@ -109,12 +110,21 @@ def encode(payload: bytes) -> bytes:
 _crc_seen: dict[bytes, int] = {}
 
 
+def _covered(data: bytes, at: int, h: tuple) -> int:
+    """How many bytes after a frame's CRC it covers: the side information of Layer III, the bit allocation of Layer I."""
+    if h[3] == 3:
+        return (17 if h[4] else 32) if h[6] else (9 if h[4] else 17)
+    joint = data[at + 3] >> 6 == 1
+    both = ((data[at + 3] >> 4 & 3) + 1) * 4 if joint else 32
+    return 16 if h[4] else (32 + both) // 2
+
+
 def _crc_ok(data: bytes, at: int, h: tuple) -> bool:
-    """Whether a Layer III frame's CRC holds; frames without one, and other layers, pass."""
-    if not h[5] or h[3] != 3:
+    """Whether the CRC of a frame of Layer I or III holds; frames without one, and Layer II (whose length of allocation
+    depends on tables that nothing else here needs), pass."""
+    if not h[5] or h[3] == 2:
         return True
-    side = (17 if h[4] else 32) if h[6] else (9 if h[4] else 17)
-    part = data[at + 2 : at + 4] + data[at + 6 : at + 6 + side]
+    part = data[at + 2 : at + 4] + data[at + 6 : at + 6 + _covered(data, at, h)]
     if part not in _crc_seen:
         if len(_crc_seen) > 4096:
             _crc_seen.clear()
@@ -207,15 +217,14 @@ def _feature_batches(it):
 
 
 def to_media(docs: DataFrame) -> DataFrame:
-    """The storing operator: doc_id, n_bytes and the binary column media of every row."""
-    return batches(texts(docs).select("doc_id", F.col("text").cast("binary").alias("text"))).mapInArrow(_encode_batches, STREAM_SCHEMA)
+    """The storing operator: a written table with doc_id, n_bytes and the binary column media of every row."""
+    return stash(batches(texts(docs).select("doc_id", F.col("text").cast("binary").alias("text"))).mapInArrow(_encode_batches, STREAM_SCHEMA), "media")
 
 
 def read_media(media: DataFrame) -> DataFrame:
     """The reading operator: digests and features of a table that to_media made, with every frame's offset."""
-    return media.mapInArrow(_feature_batches, FEATURE_SCHEMA)
+    return batches(media.select("doc_id", "n_bytes", "media")).mapInArrow(_feature_batches, FEATURE_SCHEMA)
 
 
 def op8_media(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return read_media(to_media(docs)).drop("seek_offsets")
+    return read_media(to_media(spark.read.parquet(f"{sf_dir}/documents.parquet")))
