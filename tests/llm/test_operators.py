@@ -352,6 +352,27 @@ def test_licences_on_fresh_examples():
     assert not [1 for a, b in told if b != "unknown" and a != b]
 
 
+def test_paragraphs_are_judged_by_their_own_words():
+    words = licenses.words_of(MIT + BSD + "Some other words stand here, and some more.")
+    begin = np.array([0, 3, 10, 10, 40, len(words) - 1, len(words) - 2])
+    stop = np.array([len(words), 20, 11, 12, 90, len(words), len(words)])
+    best, p = licenses.families(words, begin, stop)
+    for a, b, x, y in zip(begin, stop, best, p):
+        one, sure = licenses.families(words[a:b], np.array([0]), np.array([b - a]))
+        assert one[0] == x and sure[0] == pytest.approx(y, abs=1e-4)
+
+
+def test_short_names_and_any_words_are_classified(spark):
+    rows = [(1, "SPDX-License-Identifier: BSD-2-Clause"), (2, "This project is MIT-licensed."), (3, "Released under the Apache License."), (4, "mit licensed drivers only"), (5, "a b c\n" * 70_000 + "Released under the MIT License\n" + "d e f\n" * 30_000)]
+    got = {r.doc_id: r.license for r in licenses.find_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "bsd", 2: "mit", 3: "apache", 4: "unknown", 5: "mit"}
+
+
+def test_every_licence_line_of_the_documents_is_found(docs):
+    lines = [x for r in docs.collect() for x in (r.text or "").split("\n") if re.search(r"(?i)licensed? under|under the [a-z]+ licen[sc]e|all rights reserved|spdx", x)]
+    assert lines and all(licenses.scan(x) for x in lines)
+
+
 def test_licence_spans(spark):
     text = "Words before.\nReleased under the MIT License.\nand after, mit und ohne."
     got = licenses.find_licenses(spark.createDataFrame([(1, text), (2, "Nichts mit Lizenz.")], "doc_id long, text string")).orderBy("doc_id").collect()
@@ -444,6 +465,14 @@ def test_media_resynchronises_and_checks():
     assert media.parse(cut)["skipped"] == 36 and len(media.parse(cut)["offsets"]) == len(whole["offsets"])
     stream[whole["offsets"][2] + 8] ^= 1
     assert media.parse(bytes(stream))["bad_crc"] == 1
+    for mode, covered in ((0, 32), (1, 20), (3, 16)):  # Layer I: stereo, joint stereo from band 8 on, mono
+        head = bytes([0xFF, 0xFE, 0x94, mode << 6 | 0x10])
+        h = media.header(head, 0)
+        frame = bytearray(head + bytes(2) + bytes(range(covered)) + bytes(h[0] - 6 - covered))
+        frame[4:6] = media.crc16(bytes(frame[2:4] + frame[6 : 6 + covered])).to_bytes(2, "big")
+        assert media.parse(bytes(frame) * 3)["bad_crc"] == 0
+        frame[5 + covered] ^= 1
+        assert media.parse(bytes(frame) * 3)["bad_crc"] == 3
     assert media.parse(b"")["offsets"] == [] and media.parse(b"\xff" * 5000)["offsets"] == []
 
 
@@ -498,6 +527,16 @@ def test_bounds_are_optimal():
         assert got == sorted(set(got)) and len(got) <= k and pad(got) == best
 
 
+def test_bounds_are_exact_at_every_length(spark):
+    from itertools import combinations
+
+    lengths = [1, 3, 65_535, 65_537, 65_561, 99_999, 100_003, 131_073]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "doc_id long, n long").withColumn("text", F.lit("x"))
+    rows = packing.pack(df, tokens=F.col("n"), buckets=4).collect()
+    best = min(sum(min(b for b in (*some, lengths[-1]) if b >= x) - x for x in lengths) for some in combinations(lengths[:-1], 3))
+    assert sum(r.bucket_tokens - r.n_tokens for r in rows) == best and {r.bucket_tokens for r in rows} <= set(lengths)
+
+
 def test_batches_hold_the_budget(docs):
     rows = packing.pack(docs, budget=4096).collect()
     batches = Counter((r.bucket, r.batch) for r in rows)
