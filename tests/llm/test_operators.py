@@ -281,6 +281,10 @@ def test_quality_equals_plain_counts(spark, docs):
 
 def test_line_rules(spark):
     prose = "Plain words stand in this line, as they do in most of the lines that people write."
+    bare, dots = " ".join(["word"] * 40), "a ..... b ..... c ....."
+    for line in (bare, dots, "Alle Rechte vorbehalten.", "Tous droits réservés.", "Haga clic aquí."):
+        df = spark.createDataFrame([(1, f"{prose}\n{line}\n{prose.lower()}")], "doc_id long, text string")
+        assert quality.clean_lines(df).first().clean_text == f"{prose}\n{prose.lower()}"
     junk = ["WORDS!! ALL!! IN!! CAPITALS!! HERE!!", "one*** two$$$ three%%% four&&&", "home | about | contact | login", "All rights reserved."]
     more = "After the junk comes one more line of prose, and it has other words than the first had."
     df = spark.createDataFrame([(1, "\n".join([prose, *junk, more])), (2, "\n".join(junk * 9))], "doc_id long, text string")

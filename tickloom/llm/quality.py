@@ -1,7 +1,7 @@
 """Line-first quality rules (operator 3), in DataFrame functions only.
 
-Each line is judged by itself: symbol load, shouting, navigation separators, boilerplate phrases. Failing lines are
-removed; a document that loses more than half of its line text is rejected, as is one that fails the base rules
+Each line is judged by itself: punctuation (too much of it, or none in many words), symbol load, shouting, navigation
+separators, boilerplate phrases of four languages. Failing lines are removed; a document that loses more than half of its line text is rejected, as is one that fails the base rules
 (fewer than 20 words, or over 30 % of words in repeated 8-word windows).
 
 Nothing is shuffled: a document's repeated windows are found inside its own row by sorting window hashes, so cost is
@@ -29,7 +29,10 @@ NAV_SEPARATORS = "|»›•·"
 MIN_SEPARATORS, SEPARATOR_EACH = 3, 25
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MAX_CAPITAL_PERCENT, MIN_CAPITAL_CHARS = 60, 20
-BOILERPLATE = "all rights reserved|cookie polic|privacy polic|terms of (use|service)|sign up for|click here|enable javascript|skip to (main )?content"
+#: A line fails if it has over this share of punctuation, or none of it in so many words (blank runs) or more.
+PUNCTUATION = ".,;:!?-_…"
+MAX_PUNCTUATION_PERCENT, BARE_WORDS = 30, 30
+BOILERPLATE = "all rights reserved|cookie polic|privacy polic|terms of (use|service)|sign up for|click here|enable javascript|skip to (main )?content|alle rechte vorbehalten|datenschutzerkl|cookie-richtlinie|hier klicken|zum inhalt springen|tous droits r.serv.s|politique de confidentialit|cliquez ici|aller au contenu|todos los derechos reservados|pol.tica de (privacidad|cookies)|haga clic aqu|ir al contenido"
 #: Kept line text has to be at least this share of all line text.
 MIN_KEPT_PERCENT = 50
 
@@ -43,8 +46,11 @@ def line_fails(line: Column) -> Column:
     """Whether the punctuation, navigation or boilerplate rules reject a line."""
     n = F.char_length(line)
     bars = _of(line, NAV_SEPARATORS)
+    points = _of(line, PUNCTUATION)
     return (
-        (_of(line, MARKS) * 100 > n * MAX_MARK_PERCENT)
+        (points * 100 > n * MAX_PUNCTUATION_PERCENT)
+        | ((points == 0) & (_of(line, " ") >= BARE_WORDS))
+        | (_of(line, MARKS) * 100 > n * MAX_MARK_PERCENT)
         | ((bars >= MIN_SEPARATORS) & (bars * SEPARATOR_EACH > n))
         | ((n >= MIN_CAPITAL_CHARS) & (_of(line, CAPITALS) * 100 > n * MAX_CAPITAL_PERCENT))
         | F.lower(line).rlike(BOILERPLATE)
@@ -102,7 +108,7 @@ g AS (SELECT rid, i, concat_ws(' ', word, {', '.join(f'lead(word, {k}) OVER s' f
 t AS (SELECT rid, i FROM g WHERE last IS NOT NULL QUALIFY count(*) OVER (PARTITION BY rid, gram) > 1),
 r AS (SELECT rid, count(DISTINCT i + k) AS n FROM t, range({WINDOW}) AS o(k) GROUP BY rid),
 l AS (SELECT rid, doc_id, text, len(words)::BIGINT AS n_words, lines, list_filter(lines, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS full_lines,
-  list_filter(lines, lambda x: NOT ({_sql_of('x', MARKS)} * 100 > length(x) * {MAX_MARK_PERCENT}
+  list_filter(lines, lambda x: NOT ({_sql_of('x', PUNCTUATION)} * 100 > length(x) * {MAX_PUNCTUATION_PERCENT} OR ({_sql_of('x', PUNCTUATION)} = 0 AND {_sql_of('x', ' ')} >= {BARE_WORDS}) OR {_sql_of('x', MARKS)} * 100 > length(x) * {MAX_MARK_PERCENT}
     OR ({_sql_of('x', NAV_SEPARATORS)} >= {MIN_SEPARATORS} AND {_sql_of('x', NAV_SEPARATORS)} * {SEPARATOR_EACH} > length(x))
     OR (length(x) >= {MIN_CAPITAL_CHARS} AND {_sql_of('x', CAPITALS)} * 100 > length(x) * {MAX_CAPITAL_PERCENT})
     OR regexp_matches(lower(x), '{BOILERPLATE}'))) AS good FROM w),
