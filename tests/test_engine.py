@@ -1,5 +1,7 @@
 """The engine against a plain replay, bar by bar, and against itself by other ways."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -187,12 +189,67 @@ def test_quality_finds_faults(spark):
     assert (q.duplicate_timestamps, q.non_monotonic_steps, q.gap_events, q.missing_candles, q.invalid_ohlc_rows) == (1, 1, 2, 4, 1)
 
 
+SCORED = "symbol string, tf int, mode string, atr_period int, mult_e4 long, selection_score double, validation_score double, robust_score double"
+
+
+def scored(spark, rows):
+    return spark.createDataFrame([(s, 60, m, p, e, x, x, x) for s, m, p, e, x in rows], SCORED)
+
+
 def test_seeds_keep_apart_and_fall_back(spark):
-    rows = [("S", 60, "BOTH", p, m, s, s, s) for p, m, s in ((10, 20000, 3.0), (11, 22000, 2.0), (14, 20000, 1.0), (10, 26000, 0.5))]
-    df = spark.createDataFrame(rows, "symbol string, tf int, mode string, atr_period int, mult_e4 long, selection_score double, validation_score double, robust_score double")
-    assert [(r.atr_period, r.mult_e4) for r in select.choose_seeds(df, 5).collect()] == [(10, 20000), (14, 20000), (10, 26000)]
+    df = scored(spark, [("S", "BOTH", p, m, s) for p, m, s in ((10, 20000, 3.0), (11, 22000, 2.0), (14, 20000, 1.0), (10, 26000, 0.5))])
+    assert sorted((r.atr_period, r.mult_e4) for r in select.choose_seeds(df, 5).collect()) == [(10, 20000), (10, 26000), (14, 20000)]
     assert select.retain(df.unionByName(df), 100).count() == 4
     assert select.choose_seeds(df.where("false"), 5).count() == 0
+    bad = df.withColumn("selection_score", F.lit(-1e9))
+    assert select.choose_seeds(bad, 2).count() == 2  # nothing valid: the first rows
+
+
+def test_limits_hold_in_each_series(spark):
+    rows = [(s, "BOTH", 10 * k, 20000, 100.0 - k + (50 if s == "S" else 0)) for s in ("S", "T") for k in range(1, 20)]
+    df = scored(spark, rows)
+    for found, n in ((select.choose_seeds(df, 8), 8), (select.components(df.withColumns({"mode": F.lit("LONG"), "up_positive_ratio": F.lit(0.5), "up_avg_return_pct": F.lit(1.0)}), "LONG", 5), 5), (select.retain(df, 12), 12), (select.top_up(df, select.choose_seeds(df, 3), 6), 12)):
+        assert {r.symbol: r["count"] for r in found.groupBy("symbol").count().collect()} == {"S": n, "T": n}
+
+
+def test_retention_keeps_all_up_to_the_limit(spark):
+    df = spark.range(3000).selectExpr("'S' AS symbol", "60 AS tf", "'BOTH' AS mode", "cast(id AS int) AS atr_period", "20000L AS mult_e4", "cast(id AS double) AS selection_score", "cast(-id AS double) AS validation_score", "0.0D AS robust_score")
+    assert select.retain(df, 3500).count() == 3000
+    few = {r.atr_period for r in select.retain(df, 400).collect()}
+    assert len(few) <= 400 and {2999, 2800} <= few and {0, 99} <= few
+
+
+def test_top_keeps_families_and_then_fills(spark):
+    rows = [("S", "LONG", 10 + k, 20000, 90.0 - k) for k in range(9)] + [("S", "SHORT", 10, 20000, 1.0), ("T", "BOTH", 10, 20000, -1e9)]
+    df = scored(spark, rows).withColumn("strategy_type", F.lit("BASE"))
+    got = [(r["mode"], r.atr_period) for r in select.diversified_top(df, 5).collect()]
+    assert got == [("LONG", 10), ("LONG", 12), ("LONG", 14), ("LONG", 16), ("SHORT", 10)]
+    assert len(select.diversified_top(df, 10).collect()) == 10 and select.diversified_top(df.where("false"), 5).count() == 0
+
+
+def test_regimes_of_long_series_are_quick():
+    r = np.random.default_rng(5)
+    raw = np.repeat(r.integers(-1, 2, 40_000).astype(np.int8), r.integers(1, 5, 40_000))[:100_000]
+    began = time.perf_counter()
+    out = K.confirmed_regime(raw, 2, 6)
+    assert time.perf_counter() - began < 1 and len(out) == len(raw)
+    now, held, pending = 0, 0, []
+    for x, y in zip(raw[:3000].tolist(), out[:3000].tolist()):
+        pending = [] if x == now else pending + [x] if pending and pending[-1] == x else [x]
+        if len(pending) >= 2 and (now == 0 or held >= 6):
+            now, held, pending = x, 0, []
+        else:
+            held += 1
+        assert y == now
+
+
+def test_runs_meet_segments_once(spark):
+    r = np.random.default_rng(6)
+    a = [("S", 60, int(x), int(x + n)) for x, n in zip(r.integers(0, 900, 60), r.integers(0, 300, 60))]
+    b = [("S", 60, int(x), int(x + n)) for x, n in zip(r.integers(0, 900, 60), r.integers(0, 300, 60))]
+    one, two = spark.createDataFrame(a, "symbol string, tf int, p long, q long"), spark.createDataFrame(b, "symbol string, tf int, x long, y long")
+    got = sorted((i.p, i.q, i.x, i.y) for i in indicators.overlapping(one, two, ["symbol", "tf"], ("p", "q"), ("x", "y")).collect())
+    assert got == sorted((p, q, x, y) for _, _, p, q in a for _, _, x, y in b if max(p, x) <= min(q, y))
 
 
 def test_signature_ignores_workers_and_sees_data(spark, bars):
@@ -214,6 +271,9 @@ def test_store_resumes_and_purges(spark, tmp_path):
     assert again.results().count() == 10 and again.load_seed(60, "coarse").count() == 3 and again.summary()["checks"] == 1_000_000
     left = again.remaining(spark.createDataFrame([("u1",), ("u2",)], "unit_id string"), 60, "coarse")
     assert [r.unit_id for r in left.collect()] == ["u2"]
+    (tmp_path / "store/run-abc/manifest.new").write_text("cut short")  # a crash between writing and renaming
+    assert Store(spark, root, "abc").results().count() == 10
+    again = Store(spark, root, "abc")
     again.finish()
     assert not Store(spark, root, "abc").resumed
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tickloom.sources.candles import month_code
 
-from .indicators import SERIES
+from .indicators import SERIES, overlapping
 
 INVALID = -1e9
 METRICS = ("trades", "wins", "losses", "win_rate", "total_return_pct", "profit_factor", "max_drawdown_pct", "avg_trade_pct", "median_trade_pct", "best_trade_pct", "worst_trade_pct", "long_return_pct", "short_return_pct", "long_trades", "short_trades", "profitable_months", "months", "profitable_month_ratio", "score")
@@ -34,7 +34,8 @@ def trades(runs: DataFrame, segments: DataFrame, candles: DataFrame, keys: list[
     """One row a trade. segments: symbol, tf, segment_id, start_idx, end_idx, and where raise_to is given raised (whether
     the start is at least that column of the run); segments of fewer than least_bars bars have no trades."""
     segs = bounded(segments, candles).select(*SERIES, "segment_id", "start_idx", "end_idx", *(["raised"] if raise_to else []))
-    df = runs.join(segs, list(SERIES)).where((F.col("first_idx") <= F.col("end_idx") - 1) & (F.col("last_idx") >= F.col("start_idx")))
+    segs = segs.withColumn("_last_signal", F.col("end_idx") - 1).where("_last_signal >= start_idx")
+    df = overlapping(runs, segs, list(SERIES), ("first_idx", "last_idx"), ("start_idx", "_last_signal")).drop("_last_signal")
     if raise_to:
         df = df.withColumn("start_idx", F.when(F.col("raised"), F.greatest("start_idx", F.col(raise_to))).otherwise(F.col("start_idx")))
     df = df.where((F.col("end_idx") - F.col("start_idx") >= least_bars) & (F.col("last_idx") >= F.col("start_idx")))

@@ -127,7 +127,7 @@ def regime_runs(candles: DataFrame, configs: DataFrame, groups: int = 64) -> Dat
     series, each of which keeps the averages that its configs share."""
     asked = configs.withColumn("deal", F.pmod("regime_id", F.lit(groups)).cast("int"))
     series = candles.select(*SERIES).distinct()
-    asked = asked.crossJoin(F.broadcast(series)) if configs.limit(1).count() else asked.join(series, F.lit(False))
+    asked = asked.crossJoin(F.broadcast(series))
     bars = candles.select(*SERIES, "idx", "high", "low", "close").join(asked.select(*SERIES, "deal").distinct(), list(SERIES))
 
     def run(bars: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
@@ -156,14 +156,32 @@ def regime_runs(candles: DataFrame, configs: DataFrame, groups: int = 64) -> Dat
     return bars.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(run, _REGIME_RUNS)
 
 
+#: Bars a bin: runs and segments meet in the bins that they cover, by equality.
+BIN = 64
+
+
+def binned(df: DataFrame, first: str, last: str) -> DataFrame:
+    """A row for each bin that first to last covers, as _bin."""
+    place = lambda c: F.floor(F.col(c) / BIN).cast("long")
+    return df.withColumn("_bin", F.explode(F.sequence(place(first), place(last))))
+
+
+def overlapping(a: DataFrame, b: DataFrame, on: list[str], a_range: tuple[str, str], b_range: tuple[str, str]) -> DataFrame:
+    """Rows of a and b with equal on whose inclusive index ranges overlap, each pair once: in the bin where the overlap starts.
+    No join by range, and a long series is spread over its bins. Ranges must not be empty."""
+    met = binned(a, *a_range).join(binned(b, *b_range), [*on, "_bin"])
+    start, end = F.greatest(a_range[0], b_range[0]), F.least(a_range[1], b_range[1])
+    return met.where((start <= end) & (F.floor(start / BIN) == F.col("_bin"))).drop("_bin")
+
+
+def meet_runs(runs: DataFrame, regimes: DataFrame, side: int, keys: list[str]) -> DataFrame:
+    """The parts of the runs of one side that lie in regime runs of that side."""
+    b = regimes.where(F.col("side") == side).withColumnsRenamed({"first_idx": "_f", "last_idx": "_l"}).drop("side")
+    cut = overlapping(runs.where(F.col("side") == side), b, [*SERIES, *keys], ("first_idx", "last_idx"), ("_f", "_l"))
+    return cut.withColumns({"first_idx": F.greatest("first_idx", "_f"), "last_idx": F.least("last_idx", "_l")}).drop("_f", "_l")
+
+
 def combine_runs(long_runs: DataFrame, short_runs: DataFrame, regimes: DataFrame, keys: list[str]) -> DataFrame:
     """The adaptive signal as runs: long-trend runs where the regime is +1 and short-trend runs where it is -1. Inputs are
     maximal runs, so no two pieces of one side touch. keys are columns common to all three besides the series."""
-    on = [*SERIES, *keys]
-
-    def meet(runs, side):
-        a, b = runs.where(F.col("side") == side), regimes.where(F.col("side") == side).withColumnsRenamed({"first_idx": "_f", "last_idx": "_l", "side": "_s"})
-        cut = a.join(b, on).where("first_idx <= _l and last_idx >= _f")
-        return cut.withColumns({"first_idx": F.greatest("first_idx", "_f"), "last_idx": F.least("last_idx", "_l")}).drop("_f", "_l", "_s")
-
-    return meet(long_runs, 1).unionByName(meet(short_runs, -1), allowMissingColumns=True)
+    return meet_runs(long_runs, regimes, 1, keys).unionByName(meet_runs(short_runs, regimes, -1, keys), allowMissingColumns=True)

@@ -17,7 +17,7 @@ def _median(value: Column) -> Column:
     return F.coalesce(F.median(value), F.lit(0.0))
 
 
-def strict(df: DataFrame | None = None) -> Column:
+def strict() -> Column:
     return (F.col("test_profit_factor") > 1) & (F.col("test_max_drawdown_pct") <= 20) & (F.col("test_trades") >= 5)
 
 
@@ -75,17 +75,33 @@ def ranked_top(results: DataFrame, limit: int) -> DataFrame:
     return results.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-def neighbour_stability(results: DataFrame, top: DataFrame, periods: int = 3, reach_e4: int = 2500) -> DataFrame:
-    """Of each top BASE row, its valid neighbours (same series and mode, within periods and reach). top has at most 50 rows, so
-    the band join is by its small side."""
-    a = top.select("rank", *SERIES, "mode", F.col("atr_period").alias("_p"), F.col("mult_e4").alias("_m"))
-    b = results.where((F.col("strategy_type") == "BASE") & (F.col("robust_score") > VALID))
-    near = b.join(a, [*SERIES, "mode"]).where((F.abs(F.col("atr_period") - F.col("_p")) <= periods) & (F.abs(F.col("mult_e4") - F.col("_m")) <= reach_e4))
+#: How far neighbours of a top row may be, by type, unless the caller says otherwise.
+REACH = {"BASE": {"atr_period": 3, "mult_e4": 2500}, "ADAPTIVE": {"long_atr_period": 2, "long_mult_e4": 1500, "short_atr_period": 2, "short_mult_e4": 1500}}
+
+
+def neighbour_stability(results: DataFrame, top: DataFrame, reach: dict | None = None) -> DataFrame:
+    """Of each top row, how its valid neighbours did: rows of its type, series and mode within reach in every parameter. Adaptive
+    types share one rule and need its columns. top has at most 50 rows, so the join is by its small side."""
+    reach = REACH | (reach or {})
+    group = ["strategy_type", *SERIES, "mode"]
+    valid = results.where(F.col("robust_score") > VALID)
+    near = None
+    for kind, columns in reach.items():
+        if not set(columns) <= set(results.columns):
+            continue
+        own = F.col("strategy_type") == "BASE" if kind == "BASE" else F.col("strategy_type") != "BASE"
+        a = top.where(own).select("rank", *group, *(F.col(c).alias(f"_{c}") for c in columns))
+        met = valid.where(own).join(F.broadcast(a), group)
+        for c, far in columns.items():
+            met = met.where(F.abs(F.col(c) - F.col(f"_{c}")) <= far)
+        met = met.select("rank", *(c for c in ("selection_score", "validation_score", "test_total_return_pct")))
+        near = met if near is None else near.unionByName(met)
     found = near.groupBy("rank").agg(
         F.count("*").alias("neighbours"), _ratio(F.col("selection_score") > 0).alias("selection_positive_ratio"), _ratio(F.col("validation_score") > 0).alias("validation_positive_ratio"),
         _ratio(F.col("test_total_return_pct") > 0).alias("holdout_positive_ratio"), _median(F.col("validation_score")).alias("median_validation_score"), _median(F.col("test_total_return_pct")).alias("median_holdout_pct"),
     )
-    return a.join(found, "rank", "left").fillna(0).select("rank", *SERIES, "mode", F.col("_p").alias("atr_period"), F.col("_m").alias("mult_e4"), *found.columns[1:])
+    params = [c for columns in reach.values() for c in columns if c in top.columns]
+    return top.select("rank", *group, *dict.fromkeys(params)).join(found, "rank", "left").fillna(0, found.columns[1:])
 
 
 def overfit_flags(results: DataFrame, limit: int = 2000) -> DataFrame:

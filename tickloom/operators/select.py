@@ -1,18 +1,23 @@
 """Ranking and selection: seeds, components, retention, the diversified top.
 
-Retention is distinct-by-key, top-k and a rank inside families: joins-free window and top-k operators. The greedy rules
-("skip what is near to a chosen one") depend on order; they run on the driver over a ranked pool whose size is bounded
-by retention (POOL rows a call).
+All rules hold inside a series (symbol, tf), but the diversified top's, which is over all. Retention is distinct-by-key,
+top-k and ranks inside families: window ranks with a constant bound, which Spark cuts in every task before the shuffle.
+The greedy rules ("skip what is near to a chosen one") depend on order: they run in Arrow groups, a group a series (or a
+family of the top), over rows that retention has bounded. Nothing comes to the driver.
+
+Defined cases: a null score counts as the lowest; ties go by key; an empty table gives an empty table; columns other than
+those named pass through.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .indicators import SERIES
 from .scoring import VALID
 
-POOL = 25_000
 SCORES = ("selection_score", "validation_score", "robust_score")
 BASE_KEY = ("symbol", "tf", "mode", "atr_period", "mult_e4")
 
@@ -24,108 +29,125 @@ def distinct_best(rows: DataFrame, keys=BASE_KEY) -> DataFrame:
 
 
 def retain(rows: DataFrame, limit: int, family=("mode",), keys=BASE_KEY) -> DataFrame:
-    """At most limit rows: leaders by each score and of each family, cut by the best of the three scores. Deterministic: ties
-    go by key."""
+    """Of each series with more than limit distinct rows, limit rows at most: leaders by each score and of each family, cut by
+    the best of the three scores. Series with fewer keep all."""
     df = distinct_best(rows, keys)
-    tie = [F.asc(k) for k in keys]
-    rank = lambda c: F.row_number().over(Window.orderBy(F.desc(c), *tie))
-    tops = [df.orderBy(F.desc(c), *tie).limit(max(1, n)) for c, n in zip(SCORES, (limit // 2, limit // 4, limit // 4))]
-    families = df.select(*family).distinct().count()
-    each = max(25, limit // max(20, families * 8))
-    own = Window.partitionBy(*family).orderBy(F.desc("selection_score"), *tie)
-    tops.append(df.withColumn("_r", F.row_number().over(own)).where(F.col("_r") <= each).drop("_r"))
+    sizes = df.groupBy(*SERIES).agg(F.count("*").alias("_n"), F.countDistinct(*family).alias("_families"))
+    df = df.join(sizes, list(SERIES))
+    tie = [F.asc(k) for k in keys if k not in SERIES]
+    many = df.where(F.col("_n") > limit)
+
+    def leaders(by, group, most: int) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(*SERIES, *group).orderBy(F.desc_nulls_last(by), *tie))
+        return many.withColumn("_r", rank).where(F.col("_r") <= most)
+
+    tops = [leaders(c, (), max(1, n)).drop("_r") for c, n in zip(SCORES, (limit // 2, limit // 4, limit // 4))]
+    each = F.greatest(F.lit(25), F.floor(F.lit(limit) / F.greatest(F.lit(20), F.col("_families") * 8)))
+    tops.append(leaders("selection_score", family, max(25, limit // 20)).where(F.col("_r") <= each).drop("_r"))
     union = tops[0]
     for t in tops[1:]:
         union = union.unionByName(t)
-    return union.dropDuplicates(list(keys)).withColumn("_best", F.greatest(*SCORES)).orderBy(F.desc("_best"), *tie).limit(limit).drop("_best")
-
-
-def _bounded(rows: DataFrame, order) -> list[dict]:
-    return [r.asDict() for r in rows.orderBy(*order).limit(POOL).collect()]
+    best = Window.partitionBy(*SERIES).orderBy(F.desc_nulls_last("_best"), *tie)
+    cut = union.dropDuplicates(list(keys)).withColumn("_best", F.greatest(*SCORES)).withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= limit)
+    return df.where(F.col("_n") <= limit).select(*rows.columns).unionByName(cut.select(*rows.columns))
 
 
-def greedy(ranked: list[dict], near, limit: int) -> list[dict]:
-    """The first rows that are near to none chosen before; the first ``limit`` rows if that leaves none."""
-    chosen: list[dict] = []
+def greedy(ranked: list[dict], near, limit: int, chosen: list[dict] | None = None) -> list[dict]:
+    """The first rows, up to limit with those chosen before, that are near to none chosen."""
+    chosen = list(chosen or [])
     for row in ranked:
         if len(chosen) >= limit:
             break
         if not any(near(row, c) for c in chosen):
             chosen.append(row)
-    return chosen or ranked[:limit]
+    return chosen
+
+
+def _ordered(pdf: pd.DataFrame, **by: bool) -> list[dict]:
+    """Rows by columns, True: rising; nulls last."""
+    return pdf.sort_values(list(by), ascending=list(by.values()), kind="stable").to_dict("records")
+
+
+def _within(**reach):
+    """Rows are near if each column is at most so far apart, and they have one mode."""
+    return lambda a, b: a["mode"] == b["mode"] and all(abs(a[c] - b[c]) <= d for c, d in reach.items())
+
+
+def _framed(rows: list[dict], like: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=like.columns)
 
 
 def choose_seeds(rows: DataFrame, limit: int) -> DataFrame:
-    """Seeds by selection score only: not within 2 periods and 0.5 of a chosen seed of their mode (and series)."""
-    ranked = _bounded(rows.where(F.col("selection_score") > VALID), [F.desc("selection_score"), F.desc("mode"), F.asc("atr_period"), F.asc("mult_e4"), F.asc("symbol"), F.asc("tf")])
-    near = lambda a, b: (a["symbol"], a["tf"], a["mode"]) == (b["symbol"], b["tf"], b["mode"]) and abs(a["atr_period"] - b["atr_period"]) <= 2 and abs(a["mult_e4"] - b["mult_e4"]) <= 5000
-    return rows.sparkSession.createDataFrame(greedy(ranked, near, limit), rows.schema)
+    """Of each series, seeds by selection score only: not within 2 periods and 0.5 of a chosen seed of their mode; if no row is
+    valid, the first limit rows."""
+
+    def rule(pdf: pd.DataFrame) -> pd.DataFrame:
+        ranked = _ordered(pdf, selection_score=False, mode=False, atr_period=True, mult_e4=True)
+        valid = [r for r in ranked if r["selection_score"] > VALID]
+        return _framed(greedy(valid, _within(atr_period=2, mult_e4=5000), limit) or ranked[:limit], pdf)
+
+    return rows.groupBy(*SERIES).applyInPandas(rule, rows.schema)
 
 
 def top_up(rows: DataFrame, seeds: DataFrame, count: int) -> DataFrame:
-    """Seeds, and more of mode BOTH by selection score until count + max(6, count // 3): not within 6 periods and 0.35."""
-    chosen = [r.asDict() for r in seeds.collect()]
-    for row in _bounded(rows.where((F.col("mode") == "BOTH") & (F.col("selection_score") > VALID)), [F.desc("selection_score"), F.asc("atr_period"), F.asc("mult_e4")]):
-        if len(chosen) >= count + max(6, count // 3):
-            break
-        if not any((row["symbol"], row["tf"], row["mode"]) == (c["symbol"], c["tf"], c["mode"]) and abs(row["atr_period"] - c["atr_period"]) <= 6 and abs(row["mult_e4"] - c["mult_e4"]) <= 3500 for c in chosen):
-            chosen.append(row)
-    return rows.sparkSession.createDataFrame(chosen, rows.schema)
+    """Seeds, and more of mode BOTH by selection score until a series has count + max(6, count // 3): not within 6 periods and 0.35."""
+
+    def rule(pdf: pd.DataFrame, chosen: pd.DataFrame) -> pd.DataFrame:
+        pool = pdf[(pdf["mode"] == "BOTH") & (pdf["selection_score"] > VALID)]
+        more = _ordered(pool, selection_score=False, atr_period=True, mult_e4=True)
+        return _framed(greedy(more, _within(atr_period=6, mult_e4=3500), max(len(chosen), count + max(6, count // 3)), chosen.to_dict("records")), pdf)
+
+    return rows.groupBy(*SERIES).cogroup(seeds.toDF(*seeds.columns).groupBy(*SERIES)).applyInPandas(rule, rows.schema)
 
 
 def components(rows: DataFrame, mode: str, limit: int) -> DataFrame:
-    """Components of one mode by selection score plus how they did in rising (LONG) or falling (SHORT) windows."""
+    """Of each series, components of one mode by selection score plus how they did in rising (LONG) or falling (SHORT) windows:
+    not within 2 periods and 0.18 of a chosen one."""
     side = "up" if mode == "LONG" else "down"
-    key = F.col("selection_score") + 0.6 * F.col(f"{side}_positive_ratio") + F.col(f"{side}_avg_return_pct") / 35.0
-    ranked = _bounded(rows.where((F.col("mode") == mode) & (F.col("selection_score") > VALID)).withColumn("_key", key), [F.desc("_key"), F.asc("atr_period"), F.asc("mult_e4"), F.asc("symbol"), F.asc("tf")])
-    near = lambda a, b: (a["symbol"], a["tf"]) == (b["symbol"], b["tf"]) and abs(a["atr_period"] - b["atr_period"]) <= 2 and abs(a["mult_e4"] - b["mult_e4"]) <= 1800
-    chosen = [{k: v for k, v in r.items() if k != "_key"} for r in greedy(ranked, near, limit)]
-    return rows.sparkSession.createDataFrame(chosen, rows.schema)
 
+    def rule(pdf: pd.DataFrame) -> pd.DataFrame:
+        pool = pdf[(pdf["mode"] == mode) & (pdf["selection_score"] > VALID)]
+        key = pool["selection_score"] + 0.6 * pool[f"{side}_positive_ratio"] + pool[f"{side}_avg_return_pct"] / 35.0
+        ranked = _ordered(pool.assign(_key=key), _key=False, atr_period=True, mult_e4=True)
+        return _framed(greedy(ranked, _within(atr_period=2, mult_e4=1800), limit), pdf)
+
+    return rows.groupBy(*SERIES).applyInPandas(rule, rows.schema)
 
-def _near_top(a: dict, b: dict) -> bool:
-    if (a["strategy_type"], a["symbol"], a["tf"]) != (b["strategy_type"], b["symbol"], b["tf"]):
-        return False
-    close = lambda c, d: abs(a[c] - b[c]) <= d
-    if a["strategy_type"] == "BASE":
-        return a["mode"] == b["mode"] and close("atr_period", 1) and close("mult_e4", 1200)
-    sides = all(close(f"{s}_atr_period", 1) and close(f"{s}_mult_e4", 1000) for s in ("long", "short"))
-    if a["strategy_type"] != "ADAPTIVE_V2":
-        return sides
-    return sides and a["ema_fast"] == b["ema_fast"] and a["ema_slow"] == b["ema_slow"] and close("adx_threshold", 5) and close("separation_atr", 0.15)
 
+#: How far apart rows of one family may be and still count as near, by type; and columns in which they must be equal.
+_REACH = {"BASE": {"atr_period": 1, "mult_e4": 1200}}
+_SIDES = {"long_atr_period": 1, "long_mult_e4": 1000, "short_atr_period": 1, "short_mult_e4": 1000}
+_V2 = {"ema_fast": 0, "ema_slow": 0, "adx_threshold": 5, "separation_atr": 0.15}
 
-def _identity(r: dict, keys) -> tuple:
-    return tuple(r[k] for k in keys)
+
+def _near_top(a: dict, b: dict) -> bool:
+    reach = _REACH.get(a["strategy_type"]) or (_SIDES | _V2 if a["strategy_type"] == "ADAPTIVE_V2" else _SIDES)
+    return all(abs(a[c] - b[c]) <= d for c, d in reach.items())
 
 
 def diversified_top(rows: DataFrame, limit: int = 100, keys=("strategy_type", *BASE_KEY)) -> DataFrame:
-    """Two of each family (type, series, mode), then the best of all that are near to none chosen, then any; by robust score."""
-    tie = [F.asc(k) for k in keys]
-    ranked = _bounded(rows.where(F.col("robust_score") > VALID), [F.desc("robust_score"), F.desc("validation_score"), F.desc("selection_score"), *tie])
-    chosen, used = [], set()
-
-    def take(row, near=True):
-        k = _identity(row, keys)
-        if k in used or (near and any(_near_top(row, c) for c in chosen)):
-            return False
-        chosen.append(row)
-        used.add(k)
-        return True
-
-    families: dict = {}
-    for r in ranked:
-        families.setdefault((r["strategy_type"], r["symbol"], r["tf"], r["mode"]), []).append(r)
-    for name in sorted(families):
-        added = 0
-        for r in families[name]:
-            if len(chosen) >= limit or added >= 2:
-                break
-            added += take(r)
-    for near in (True, False):
-        for r in ranked:
-            if len(chosen) >= limit:
-                break
-            take(r, near)
-    chosen.sort(key=lambda r: -r["robust_score"])
-    return rows.sparkSession.createDataFrame(chosen, rows.schema)
+    """Two of each family (type, timeframe and symbol, mode), then the best of all that are near to none chosen, then any; by
+    robust score.
+
+    Rows are near to rows of their own family only, so each family's greedy order does not depend on the others: a group a
+    family numbers it, and one top-k over (stage, order) makes the choice.
+    """
+    family = ("strategy_type", "tf", "symbol", "mode")
+    order = {"robust_score": False, "validation_score": False, "selection_score": False} | {k: True for k in keys}
+    once = Window.partitionBy(*keys).orderBy(*(F.desc_nulls_last(c) for c in SCORES[::-1]))
+    valid = rows.where(F.col("robust_score") > VALID).withColumn("_r", F.row_number().over(once)).where("_r = 1").drop("_r")
+    schema = valid.withColumn("_g", F.lit(None).cast("int")).schema
+
+    def rule(pdf: pd.DataFrame) -> pd.DataFrame:
+        ranked = [r | {"_i": i} for i, r in enumerate(_ordered(pdf, **order))]
+        place = {r["_i"]: g for g, r in enumerate(greedy(ranked, _near_top, limit))}
+        kept = [r | {"_g": place.get(r["_i"])} for r in ranked if r["_i"] in place or r["_i"] < limit]
+        out = pd.DataFrame(kept, columns=[*pdf.columns, "_g"])
+        return out.assign(_g=out["_g"].astype("Int32"))
+
+    numbered = valid.groupBy(*family).applyInPandas(rule, schema)
+    early, g = F.col("_g") < 2, F.col("_g")
+    stage = F.when(early, 0).when(g.isNotNull(), 1).otherwise(2)
+    first = [stage, *(F.when(early, F.col(c)) for c in family), F.when(early, g)]
+    rank = [F.col(c).asc() if rising else F.col(c).desc_nulls_last() for c, rising in order.items()]
+    return numbered.orderBy(*first, *rank).limit(limit).select(*rows.columns).orderBy(F.desc("robust_score"), *rank)

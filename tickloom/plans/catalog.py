@@ -6,12 +6,13 @@ both sides (floor(x * 1e6 + 0.5) / 1e6).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators import backtest, evaluate, grid, indicators, reports, scoring, select, walkforward
 from tickloom.sources import candles as C
 from tickloom.sources import store
+from tickloom.sources.written import stash
 
 from . import oracle as O
 from .oracle import FEE, MIN_TRADES, SLIP, query
@@ -35,12 +36,22 @@ def rounded(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*((F.floor(F.col(c) * 1e6 + 0.5) / 1e6).alias(c) if t == "double" and c not in keep else F.col(c) for c, t in df.dtypes))
 
 
+def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily candles, written once: a query's branches all read them."""
+    return stash(C.orders_daily(spark, sf_dir), "candles")
+
+
+def planned(bars: DataFrame) -> DataFrame:
+    """The segments of the walk-forward plan, written once."""
+    return stash(walkforward.segments(bars, MIN_TRADES), "segments")
+
+
 def _grid(spark: SparkSession, candles: DataFrame, periods, mults, modes=("BOTH",)) -> DataFrame:
     return grid.product(spark, periods, mults, modes).crossJoin(F.broadcast(candles.select("symbol", "tf").distinct()))
 
 
 def _one(spark: SparkSession, sf_dir: str, mode: str = "BOTH"):
-    bars = C.orders_daily(spark, sf_dir)
+    bars = daily(spark, sf_dir)
     g = _grid(spark, bars, [14], [25000], [mode])
     runs = backtest.with_mode(indicators.trend_runs(bars, g), g)
     return bars, runs
@@ -53,16 +64,25 @@ def _trades(spark: SparkSession, sf_dir: str, mode: str = "BOTH") -> DataFrame:
 
 def swept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The small sweep that the report queries share, in the flat result form."""
-    bars = C.orders_daily(spark, sf_dir)
+    bars = daily(spark, sf_dir)
     g = _grid(spark, bars, O.PERIODS, O.MULTS, O.MODES)
     runs = backtest.with_mode(indicators.trend_runs(bars, g), g)
-    df = evaluate.evaluate(runs, g, KEYS, walkforward.segments(bars, MIN_TRADES), bars, FEE, SLIP, MIN_TRADES, "atr_period")
-    return df.withColumns({"strategy_type": F.lit("BASE"), "stage": F.lit("coarse")})
+    df = evaluate.evaluate(runs, g, KEYS, planned(bars), bars, FEE, SLIP, MIN_TRADES, "atr_period")
+    return stash(df.withColumns({"strategy_type": F.lit("BASE"), "stage": F.lit("coarse")}), "swept")
+
+
+def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The small sweep, near copies of its rows (one period and 0.1 on, scores a little lower), and a second series in which
+    selection and validation have changed places: what selection and reports have to tell apart."""
+    df = swept(spark, sf_dir)
+    near = df.withColumns({"atr_period": F.col("atr_period") + 1, "mult_e4": F.col("mult_e4") + 1000, **{c: F.col(c) - 0.125 for c in select.SCORES}})
+    other = df.withColumns({"symbol": F.lit("OTHER"), "tf": F.lit(2880), "selection_score": F.col("validation_score"), "validation_score": F.col("selection_score")})
+    return stash(df.unionByName(near).unionByName(other), "pool")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The metrics of one setting over the whole range, in its three modes."""
-    bars = C.orders_daily(spark, sf_dir)
+    bars = daily(spark, sf_dir)
     g = _grid(spark, bars, [14], [25000], O.MODES)
     runs = backtest.with_mode(indicators.trend_runs(bars, g), g)
     return backtest.metrics(backtest.trades(runs, walkforward.whole_range(bars), bars, KEYS, FEE, SLIP), KEYS)
@@ -93,14 +113,20 @@ def candle_gaps(spark, d):
     return C.gaps(C.orders_daily(spark, d))
 
 
-@register(query(O.ORDERS, """SELECT symbol, tf, idx, timestamp, open, high, low, close, volume, turnover FROM (SELECT symbol, tf, (row_number() OVER (ORDER BY timestamp) - 1)::BIGINT AS idx, timestamp, open, high, low, close, volume, 0.0::DOUBLE AS turnover FROM bars WHERE timestamp % 5 <> 1)"""))
+@register(query(f"""{O.ORDERS}, raw AS (SELECT timestamp::VARCHAR AS t, open::VARCHAR AS o, high::VARCHAR AS h, low::VARCHAR AS l, close::VARCHAR AS c, volume::VARCHAR AS v, -idx AS arrival FROM bars
+  UNION ALL SELECT timestamp::VARCHAR, open::VARCHAR, high::VARCHAR, low::VARCHAR, '1.0', volume::VARCHAR, 1000000 - idx FROM bars UNION ALL SELECT (7 + 3 * idx)::VARCHAR, 'n/a', high::VARCHAR, low::VARCHAR, close::VARCHAR, volume::VARCHAR, -idx FROM bars WHERE idx < 20
+  UNION ALL SELECT (timestamp + 1)::VARCHAR, open::VARCHAR, high::VARCHAR, low::VARCHAR, close::VARCHAR, NULL, -idx FROM bars WHERE idx % 7 = 0),
+typed AS (SELECT try_cast(t AS BIGINT) AS timestamp, try_cast(o AS DOUBLE) AS open, try_cast(h AS DOUBLE) AS high, try_cast(l AS DOUBLE) AS low, try_cast(c AS DOUBLE) AS close, coalesce(try_cast(v AS DOUBLE), 0) AS volume, arrival FROM raw),
+once AS (SELECT * FROM typed WHERE timestamp IS NOT NULL AND open IS NOT NULL AND high IS NOT NULL AND low IS NOT NULL AND close IS NOT NULL QUALIFY row_number() OVER (PARTITION BY timestamp ORDER BY arrival) = 1)""",
+    "SELECT 'ORDERS' AS symbol, 1440 AS tf, (row_number() OVER (ORDER BY timestamp) - 1)::BIGINT AS idx, timestamp, open, high, low, close, volume, 0.0::DOUBLE AS turnover FROM once"))
 def candles_cleaned(spark, d):
-    """The cleaning of text candles that come in reverse, twice, with bad rows and without turnover."""
-    bars = C.orders_daily(spark, d)
+    """The cleaning of text candles that come in reverse, twice (the later row loses), with bad rows, without volume here and there, and without turnover."""
+    bars = daily(spark, d)
     text = bars.select(*(F.col(c).cast("string").alias(c) for c in ("timestamp", "open", "high", "low", "close", "volume")), (-F.col("idx")).alias("arrival"))
     late = text.withColumns({"close": F.lit("1.0"), "arrival": F.col("arrival") + 1_000_000})
-    bad = text.limit(20).withColumns({"open": F.lit("n/a"), "timestamp": F.lit("7")})
-    return C.clean(text.unionByName(late).unionByName(bad), "arrival", "ORDERS", 1440)
+    bad = text.where("arrival > -20").withColumns({"open": F.lit("n/a"), "timestamp": (F.lit(7) - F.col("arrival") * 3).cast("string")})
+    bare = text.where("arrival % 7 = 0").withColumns({"timestamp": (F.col("timestamp").cast("long") + 1).cast("string"), "volume": F.lit(None).cast("string")})
+    return C.clean(text.unionByName(late).unionByName(bad).unionByName(bare), "arrival", "ORDERS", 1440)
 
 
 @register(query(f"{O.ORDERS}, files(path, modified, gap) AS (VALUES ('a', 1, 0), ('b', 3, 400), ('c', 2, 0), ('d', 4, 2000))", "SELECT path, modified FROM files, (SELECT count(*) AS n FROM bars) WHERE gap < n * 0.01 ORDER BY modified DESC LIMIT 1"))
@@ -168,13 +194,13 @@ _PARTS = "parts AS (SELECT 'SELECTION' AS part, research_start AS a, greatest(re
 
 @register(query(f"{O.ORDERS}, {O.TR}, {O.regime_v2()}, {O.PLAN}, {_PARTS}", f"SELECT 'ORDERS' AS symbol, 1440 AS tf, part, {O.r('avg(CASE WHEN regime = 1 THEN 1.0::DOUBLE ELSE 0 END)', 'up_ratio')}, {O.r('avg(CASE WHEN regime = -1 THEN 1.0::DOUBLE ELSE 0 END)', 'down_ratio')}, {O.r('avg(CASE WHEN regime = 0 THEN 1.0::DOUBLE ELSE 0 END)', 'flat_ratio')}, coalesce(sum(c), 0)::BIGINT AS switches FROM (SELECT *, CASE WHEN regime <> lag(regime) OVER (PARTITION BY part ORDER BY idx) THEN 1 ELSE 0 END AS c FROM regime JOIN parts ON idx BETWEEN a AND b) GROUP BY part"))
 def regime_mix(spark, d):
-    bars = C.orders_daily(spark, d)
+    bars = daily(spark, d)
     return rounded(reports.regime_mix(indicators.regime_v2(bars, O.REGIME), walkforward.plan(bars)))
 
 
 @register(query(f"{O.ORDERS}, {O.TR}, {O.regime_v2()}", "SELECT 'ORDERS' AS symbol, 1440 AS tf, idx, timestamp, close, CASE regime WHEN 1 THEN 'UP' WHEN -1 THEN 'DOWN' ELSE 'FLAT' END AS state FROM bars JOIN regime USING (idx), size WHERE idx % greatest(1, n // 400) = 0"))
 def regime_samples(spark, d):
-    bars = C.orders_daily(spark, d)
+    bars = daily(spark, d)
     return reports.regime_samples(bars, indicators.regime_v2(bars, O.REGIME))
 
 
@@ -186,7 +212,7 @@ _RUNS = f"{O.ORDERS}, {O.TR}, {O.trend(O.ONE)}, {_SIG}, {O.runs('sig', 'atr_peri
 
 @register(query(_RUNS, "SELECT 'ORDERS' AS symbol, 1440 AS tf, atr_period, mult_e4::BIGINT AS mult_e4, first_idx, last_idx, side FROM runs"))
 def signal_runs(spark, d):
-    bars = C.orders_daily(spark, d)
+    bars = daily(spark, d)
     return indicators.trend_runs(bars, _grid(spark, bars, [14], [25000]))
 
 
@@ -233,17 +259,17 @@ def metrics_monthly(spark, d):
 
 @register(query(f"{O.ORDERS}, {O.PLAN}", "SELECT 'ORDERS' AS symbol, 1440 AS tf, n, total_days, holdout_days, warmup_days, windows, research_start, selection_end, validation_start, holdout_start FROM plan"))
 def walk_forward_plan(spark, d):
-    return walkforward.plan(C.orders_daily(spark, d))
+    return walkforward.plan(daily(spark, d))
 
 
 @register(query(f"{O.ORDERS}, {O.PLAN}", "SELECT 'ORDERS' AS symbol, 1440 AS tf, window_no, a, b, bench_pct, regime, phase FROM wins"))
 def walk_forward_windows(spark, d):
-    return walkforward.windows(C.orders_daily(spark, d))
+    return walkforward.windows(daily(spark, d))
 
 
 @register(query(f"{O.ORDERS}, {O.PLAN}, {O.SEGS}", "SELECT 'ORDERS' AS symbol, 1440 AS tf, segment_id, phase, start_idx, end_idx, raised, min_trades, regime, bench_pct FROM segs"))
 def walk_forward_segments(spark, d):
-    return walkforward.segments(C.orders_daily(spark, d), MIN_TRADES)
+    return walkforward.segments(daily(spark, d), MIN_TRADES)
 
 
 _SEGMENTED = f"{_RUNS}, {O.moded(['BOTH'])}, {O.PLAN}, {O.SEGS}, {O.trades(O.BASE_KEYS, 'atr_period')}"
@@ -252,7 +278,7 @@ _WINDOWED = f"{_SEGMENTED}, wr AS (SELECT segment_id, phase, regime, coalesce(re
 
 def _window_returns(spark, d):
     bars, runs = _one(spark, d)
-    segs = walkforward.segments(bars, MIN_TRADES)
+    segs = planned(bars)
     made = backtest.trades(runs, segs, bars, KEYS, FEE, SLIP, "atr_period")
     wanted = _grid(spark, bars, [14], [25000]).join(segs.where("phase like '%WINDOW'").select("symbol", "tf", "segment_id"), ["symbol", "tf"])
     return backtest.returns(made, KEYS, wanted).join(segs.select("symbol", "tf", "segment_id", "phase", "regime"), ["symbol", "tf", "segment_id"])
@@ -282,7 +308,7 @@ _PHASES = "'RESEARCH', 'SELECTION', 'VALIDATION', 'HOLDOUT'"
 @register(query(f"{_SEGMENTED}, {O.metrics(O.BASE_KEYS, f'SELECT 14 AS atr_period, 25000 AS mult_e4, {chr(39)}BOTH{chr(39)} AS mode, segment_id, min_trades FROM segs WHERE phase IN ({_PHASES})')}", f"SELECT segment_id, {_ALL} FROM met"))
 def segment_metrics(spark, d):
     bars, runs = _one(spark, d)
-    segs = walkforward.segments(bars, MIN_TRADES).where(F.col("phase").isin("RESEARCH", "SELECTION", "VALIDATION", "HOLDOUT"))
+    segs = planned(bars).where(F.col("phase").isin("RESEARCH", "SELECTION", "VALIDATION", "HOLDOUT"))
     made = backtest.trades(runs, segs, bars, KEYS, FEE, SLIP, "atr_period")
     wanted = _grid(spark, bars, [14], [25000]).join(segs.select("symbol", "tf", "segment_id", "min_trades"), ["symbol", "tf"])
     return rounded(backtest.metrics(made, KEYS, wanted).select("segment_id", *backtest.METRICS))
@@ -355,7 +381,7 @@ def grid_around_seeds(spark, d):
 
 
 def _adaptive(spark, d):
-    bars = C.orders_daily(spark, d)
+    bars = daily(spark, d)
     side = lambda p, m: indicators.trend_runs(bars, _grid(spark, bars, [p], [m])).drop("atr_period", "mult_e4")
     config = spark.range(1).select(F.lit(0).cast("long").alias("regime_id"), *(F.lit(v).alias(k) for k, v in O.REGIME.items()))
     regimes = indicators.regime_runs(bars, config).drop("regime_id")
@@ -381,14 +407,14 @@ _AD = f"{O.ADAPTIVE}, {O.PLAN}, {O.SEGS}, {O.trades('one')}, {O.results('one', '
 def adaptive_metrics(spark, d):
     bars, runs = _adaptive(spark, d)
     settings = bars.select("symbol", "tf").distinct().withColumn("one", F.lit(0))
-    return rounded(evaluate.evaluate(runs, settings, ["one"], walkforward.segments(bars, MIN_TRADES), bars, FEE, SLIP, MIN_TRADES, fused=True).select(*_FLAT))
+    return rounded(evaluate.evaluate(runs, settings, ["one"], planned(bars), bars, FEE, SLIP, MIN_TRADES, fused=True).select(*_FLAT))
 
 
 @register(query(f"{_AD}, bal AS (SELECT *, list_filter([CASE WHEN up_windows > 0 THEN up_positive_ratio END, CASE WHEN down_windows > 0 THEN down_positive_ratio END, CASE WHEN flat_windows > 0 THEN flat_positive_ratio END], lambda x: x IS NOT NULL) AS rates FROM res)", f"""SELECT wf_windows, train_trades, {O.r("CASE WHEN train_trades < 24 OR wf_windows < 4 THEN -1e9 ELSE train_total_return_pct / greatest(train_max_drawdown_pct, 2) * greatest(least(train_profit_factor, 3), 0) * sqrt(least(train_trades, 350) / 350.0::DOUBLE) * (0.15 + 0.85 * wf_positive_ratio) * (1 / (1 + greatest(-wf_worst_return_pct, 0) / 10)) * greatest(least(1 + wf_median_return_pct / 10, 1.8), 0.3) * (0.55 + coalesce(0.45 * list_min(rates), 0)) END", 'robust_score')} FROM bal"""))
 def adaptive_v1_score(spark, d):
     bars, runs = _adaptive(spark, d)
     settings = bars.select("symbol", "tf").distinct().withColumn("one", F.lit(0))
-    return rounded(evaluate.evaluate_v1(runs, settings, ["one"], walkforward.segments(bars, MIN_TRADES), bars, FEE, SLIP, MIN_TRADES).select("wf_windows", "train_trades", "robust_score"))
+    return rounded(evaluate.evaluate_v1(runs, settings, ["one"], planned(bars), bars, FEE, SLIP, MIN_TRADES).select("wf_windows", "train_trades", "robust_score"))
 
 
 # --- reports ---
@@ -422,19 +448,62 @@ def parameter_coverage(spark, d):
     return reports.parameter_coverage(swept(spark, d))
 
 
-@register(query(O.SWEPT, f"""SELECT tf, mode, atr_bucket, mult_bucket, count(*) AS members, {_share('selection_score > 0', 'selection_positive_ratio')}, {_share('validation_score > 0', 'validation_positive_ratio')}, {_mid('selection_score', 'median_selection_score')}, {_mid('validation_score', 'median_validation_score')}, {_mid('validation_median_return_pct', 'median_validation_window_pct')}, {_share('test_total_return_pct > 0', 'holdout_positive_ratio')}, {_mid('test_total_return_pct', 'median_holdout_pct')}
-FROM (SELECT *, (atr_period // 10 * 10)::BIGINT AS atr_bucket, (round_even(mult_e4 / 20000.0::DOUBLE, 0) * 20000)::BIGINT AS mult_bucket FROM swept WHERE selection_score > -1e8) GROUP BY tf, mode, atr_bucket, mult_bucket HAVING count(*) >= 2""".replace("20000", "2500").replace(">= 2", ">= 1")))
+_POOL_COLUMNS = ", ".join(("strategy_type", "stage", "mode", *_FLAT))
+_LESS = _POOL_COLUMNS
+for _c in select.SCORES:
+    _LESS = _LESS.replace(f", {_c}", f", {_c} - 0.125::DOUBLE AS {_c}")
+_SWAPPED = _POOL_COLUMNS.replace("selection_score, validation_score", "validation_score AS selection_score, selection_score AS validation_score")
+POOL = f"""{O.SWEPT}, pool AS MATERIALIZED (SELECT 'ORDERS' AS symbol, 1440 AS tf, atr_period::INTEGER AS atr_period, mult_e4::BIGINT AS mult_e4, {_POOL_COLUMNS} FROM swept
+UNION ALL SELECT 'ORDERS', 1440, atr_period + 1, mult_e4 + 1000, {_LESS} FROM swept UNION ALL SELECT 'OTHER', 2880, atr_period, mult_e4, {_SWAPPED} FROM swept)"""
+_NAMED = "symbol, tf, atr_period, mult_e4, mode"
+_PICKED = ["symbol", "tf", *KEYS]
+
+
+def _greedy(order: str, near: str, limit: int, where: str, by: str = "symbol", start: str = "[]") -> str:
+    """chosen(by, chosen): the greedy choice of each group of pool, as a list; c is a row chosen before, r the row at hand."""
+    row = "{{'tf': r.tf, 'atr_period': r.atr_period, 'mult_e4': r.mult_e4, 'mode': r.mode, 'rn': r.rn}}".replace("{{", "{").replace("}}", "}")
+    kind = "STRUCT(tf INTEGER, atr_period INTEGER, mult_e4 BIGINT, mode VARCHAR, rn BIGINT)[]"
+    return f"""ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY {order}) AS rn FROM pool WHERE {where}),
+steps AS (SELECT DISTINCT {by}, 0::BIGINT AS rn, []::{kind} AS chosen FROM ranked
+  UNION ALL SELECT {', '.join('s.' + x.strip() for x in by.split(','))}, r.rn, CASE WHEN len(s.chosen) < {limit} AND len(list_filter(s.chosen, lambda c: {near})) = 0 THEN list_append(s.chosen, {row}) ELSE s.chosen END
+  FROM steps s JOIN ranked r ON {' AND '.join(f's.{x.strip()} = r.{x.strip()}' for x in by.split(','))} AND r.rn = s.rn + 1),
+chosen AS (SELECT {by}, unnest(arg_max(chosen, rn)) AS x FROM steps GROUP BY {by})"""
+
+
+@register(query(POOL, f"""SELECT tf, mode, atr_bucket, mult_bucket, count(*) AS members, {_share('selection_score > 0', 'selection_positive_ratio')}, {_share('validation_score > 0', 'validation_positive_ratio')}, {_mid('selection_score', 'median_selection_score')}, {_mid('validation_score', 'median_validation_score')}, {_mid('validation_median_return_pct', 'median_validation_window_pct')}, {_share('test_total_return_pct > 0', 'holdout_positive_ratio')}, {_mid('test_total_return_pct', 'median_holdout_pct')}
+FROM (SELECT *, (atr_period // 10 * 10)::BIGINT AS atr_bucket, (round_even(mult_e4 / 2500.0::DOUBLE, 0) * 2500)::BIGINT AS mult_bucket FROM pool WHERE selection_score > -1e8) GROUP BY tf, mode, atr_bucket, mult_bucket HAVING count(*) >= 3"""))
 def cluster_landscape(spark, d):
-    """With one member enough, as the small sweep is sparse; the report's default is three."""
-    return rounded(reports.cluster_landscape(swept(spark, d), 1))
+    return rounded(reports.cluster_landscape(pool(spark, d)))
+
+
+def _neighbours(columns: dict[str, int], types: str) -> str:
+    same = " AND ".join(f"abs(n.{c} - t.{c}) <= {far}" for c, far in columns.items())
+    return f"""SELECT t.rank::INTEGER AS rank, t.strategy_type, t.symbol, t.tf, t.mode, {', '.join(f't.{c}' for c in columns)}, count(n.mode) AS neighbours, {_share('n.selection_score > 0', 'selection_positive_ratio', 'n.mode IS NOT NULL')}, {_share('n.validation_score > 0', 'validation_positive_ratio', 'n.mode IS NOT NULL')}, {_share('n.test_total_return_pct > 0', 'holdout_positive_ratio', 'n.mode IS NOT NULL')}, {_mid('n.validation_score', 'median_validation_score')}, {_mid('n.test_total_return_pct', 'median_holdout_pct')}
+FROM top t LEFT JOIN {types} n ON n.symbol = t.symbol AND n.tf = t.tf AND n.mode = t.mode AND {same} AND n.robust_score > -1e8 WHERE t.rank <= 20 GROUP BY ALL"""
+
+
+_TOP = "top AS (SELECT *, row_number() OVER (ORDER BY robust_score DESC, validation_score DESC, selection_score DESC, atr_period, mult_e4, mode, symbol) AS rank FROM {0})"
+
+
+def _leaders(df: DataFrame) -> DataFrame:
+    order = [F.desc("robust_score"), F.desc("validation_score"), F.desc("selection_score"), "atr_period", "mult_e4", "mode", "symbol"]
+    return df.orderBy(*order).limit(20).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-@register(query(f"{O.SWEPT}, top AS (SELECT *, row_number() OVER (ORDER BY robust_score DESC, validation_score DESC, selection_score DESC, atr_period, mult_e4, mode) AS rank FROM swept)", f"""SELECT t.rank::INTEGER AS rank, 'ORDERS' AS symbol, 1440 AS tf, t.mode, t.atr_period, t.mult_e4::BIGINT AS mult_e4, count(n.mode) AS neighbours, {_share('n.selection_score > 0', 'selection_positive_ratio', 'n.mode IS NOT NULL')}, {_share('n.validation_score > 0', 'validation_positive_ratio', 'n.mode IS NOT NULL')}, {_share('n.test_total_return_pct > 0', 'holdout_positive_ratio', 'n.mode IS NOT NULL')}, {_mid('n.validation_score', 'median_validation_score')}, {_mid('n.test_total_return_pct', 'median_holdout_pct')}
-FROM top t LEFT JOIN swept n ON n.mode = t.mode AND abs(n.atr_period - t.atr_period) <= 4 AND abs(n.mult_e4 - t.mult_e4) <= 10000 AND n.robust_score > -1e8 WHERE t.rank <= 20 GROUP BY t.rank, t.mode, t.atr_period, t.mult_e4"""))
+@register(query(f"{POOL}, {_TOP.format('pool')}", _neighbours(reports.REACH["BASE"], "pool")))
 def neighbour_stability(spark, d):
-    """Over wider bands than the report's default, as the small sweep is sparse."""
-    df = swept(spark, d)
-    return rounded(reports.neighbour_stability(df, reports.ranked_top(df, 20), 4, 10000))
+    df = pool(spark, d)
+    return rounded(reports.neighbour_stability(df, _leaders(df)))
+
+
+_TWO_SIDED = "two AS MATERIALIZED (SELECT * REPLACE ('ADAPTIVE_V2' AS strategy_type, 'ADAPTIVE' AS mode), atr_period AS long_atr_period, mult_e4 AS long_mult_e4, atr_period + 3 AS short_atr_period, mult_e4 + 500 AS short_mult_e4 FROM pool)"
+
+
+@register(query(f"{POOL}, {_TWO_SIDED}, {_TOP.format('two')}", _neighbours(reports.REACH["ADAPTIVE"], "two").replace("t.mode, ", "t.mode, t.atr_period, t.mult_e4, ", 1)))
+def neighbour_stability_adaptive(spark, d):
+    """The rule of adaptive rows, on rows that have two sides."""
+    df = pool(spark, d).withColumns({"strategy_type": F.lit("ADAPTIVE_V2"), "mode": F.lit("ADAPTIVE"), "long_atr_period": F.col("atr_period"), "long_mult_e4": F.col("mult_e4"), "short_atr_period": F.col("atr_period") + 3, "short_mult_e4": F.col("mult_e4") + 500})
+    return rounded(reports.neighbour_stability(df, _leaders(df)))
 
 
 @register(query(O.SWEPT, f"""SELECT * FROM (SELECT strategy_type, tf, mode, stage, atr_period, mult_e4::BIGINT AS mult_e4, {_SCORES}, {O.r('test_total_return_pct')}, concat_ws(';', CASE WHEN swept.selection_score > 0 AND swept.validation_score <= 0 THEN 'selection_positive_validation_nonpositive' END, CASE WHEN selection_median_return_pct > 0 AND validation_median_return_pct < 0 THEN 'median_sign_flip' END,
@@ -448,7 +517,7 @@ def heatmap_pivot(spark, d):
     return rounded(reports.heatmap(swept(spark, d)))
 
 
-@register(query(O.SWEPT, f"SELECT count(*) AS candidates, count(*) FILTER ({_VALID}) AS valid_candidates, 0::BIGINT AS nan_scores, count(*) FILTER ({_VALID} AND {_SURVIVE}) AS survivors, count(*) FILTER ({_VALID} AND {_SURVIVE} AND {_STRICT}) AS strict_survivors FROM swept"))
+@register(query(O.SWEPT, f"SELECT count(*) AS candidates, count(*) FILTER ({_VALID}) AS valid_candidates, count(*) FILTER (isnan(robust_score)) AS nan_scores, count(*) FILTER ({_VALID} AND {_SURVIVE}) AS survivors, count(*) FILTER ({_VALID} AND {_SURVIVE} AND {_STRICT}) AS strict_survivors FROM swept"))
 def report_summary(spark, d):
     return reports.summary(swept(spark, d))
 
@@ -468,24 +537,49 @@ def audit_union(spark, d):
     return reports.keyed_union(a, df.where("mode = 'LONG'").select(F.lit(2).alias("o"), *KEYS), KEYS)
 
 
-@register()
+_TOP_ORDER = "robust_score DESC, validation_score DESC, selection_score DESC, strategy_type, symbol, tf, mode, atr_period, mult_e4"
+
+
+@register(query(f"{POOL}, {_greedy(_TOP_ORDER, 'abs(c.atr_period - r.atr_period) <= 1 AND abs(c.mult_e4 - r.mult_e4) <= 1200', 20, 'robust_score > -1e8', 'symbol, mode')}", f"""SELECT symbol, tf, atr_period, mult_e4, mode, {O.r('robust_score')} FROM (
+  SELECT *, CASE WHEN g <= 2 THEN 0 WHEN g IS NOT NULL THEN 1 ELSE 2 END AS stage FROM (
+    SELECT r.*, c.g FROM ranked r LEFT JOIN (SELECT symbol, mode, x.rn AS rn, row_number() OVER (PARTITION BY symbol, mode ORDER BY x.rn) AS g FROM chosen) c USING (symbol, mode, rn)))
+QUALIFY row_number() OVER (ORDER BY stage, CASE WHEN stage = 0 THEN tf END, CASE WHEN stage = 0 THEN symbol END, CASE WHEN stage = 0 THEN mode END, CASE WHEN stage = 0 THEN g END, {_TOP_ORDER}) <= 20"""))
 def diversified_top(spark, d):
-    return select.diversified_top(swept(spark, d), 20).select(*KEYS, "robust_score")
+    return rounded(select.diversified_top(pool(spark, d), 20).select(*_PICKED, "robust_score"))
 
 
-@register()
+@register(query(f"{POOL}, {_greedy('selection_score DESC, mode DESC, atr_period, mult_e4', 'c.mode = r.mode AND abs(c.atr_period - r.atr_period) <= 2 AND abs(c.mult_e4 - r.mult_e4) <= 5000', 12, 'selection_score > -1e8')}", """SELECT symbol, x.tf AS tf, x.atr_period AS atr_period, x.mult_e4 AS mult_e4, x.mode AS mode FROM chosen UNION ALL
+  SELECT symbol, tf, atr_period, mult_e4, mode FROM pool WHERE symbol NOT IN (SELECT symbol FROM chosen) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY selection_score DESC, mode DESC, atr_period, mult_e4) <= 12"""))
 def choose_seeds(spark, d):
-    return select.choose_seeds(swept(spark, d), 12).select(*KEYS, "selection_score")
+    return select.choose_seeds(pool(spark, d), 12).select(*_PICKED)
+
+
+@register(query(f"{POOL}, {_greedy('selection_score + 0.6::DOUBLE * up_positive_ratio + up_avg_return_pct / 35.0::DOUBLE DESC, atr_period, mult_e4', 'abs(c.atr_period - r.atr_period) <= 2 AND abs(c.mult_e4 - r.mult_e4) <= 1800', 5, 'mode = $$LONG$$ AND selection_score > -1e8')}", "SELECT symbol, x.tf AS tf, x.atr_period AS atr_period, x.mult_e4 AS mult_e4, x.mode AS mode FROM chosen"))
+def components(spark, d):
+    return select.components(pool(spark, d), "LONG", 5).select(*_PICKED)
+
 
+def _retained(limit: int) -> str:
+    ranks = ", ".join(f"row_number() OVER (PARTITION BY symbol ORDER BY {c} DESC, mode, atr_period, mult_e4) AS r{i}" for i, c in enumerate(select.SCORES))
+    each = f"greatest(25, {limit} // greatest(20, 3 * 8))"
+    return f"""{POOL}, placed AS (SELECT *, count(*) OVER (PARTITION BY symbol) AS n, {ranks}, row_number() OVER (PARTITION BY symbol, mode ORDER BY selection_score DESC, atr_period, mult_e4) AS rf FROM pool),
+leaders AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY greatest(selection_score, validation_score, robust_score) DESC, mode, atr_period, mult_e4) AS rb FROM placed WHERE n > {limit} AND (r0 <= {limit // 2} OR r1 <= {limit // 4} OR r2 <= {limit // 4} OR rf <= {each})),
+kept AS (SELECT {_NAMED}, selection_score FROM leaders WHERE rb <= {limit} UNION ALL SELECT {_NAMED}, selection_score FROM placed WHERE n <= {limit})"""
 
-@register(query(O.SWEPT, f"SELECT {_ID}, {O.r('selection_score')} FROM swept"))
+
+@register(query(_retained(60), f"SELECT {_NAMED}, {O.r('selection_score')} FROM kept"))
 def retained_rows(spark, d):
-    """Retention of a pool that came in twice: one row a setting."""
-    df = swept(spark, d)
-    return rounded(select.retain(df.unionByName(df), 3500).select(*KEYS, "selection_score"))
+    """Retention of a pool that came in twice: the first series has more rows than the limit, the second fewer."""
+    df = pool(spark, d)
+    return rounded(select.retain(df.unionByName(df), 60).select(*_PICKED, "selection_score"))
+
+
+@register(query(_retained(30), f"SELECT {_NAMED}, {O.r('selection_score')} FROM kept"))
+def retained_few(spark, d):
+    return rounded(select.retain(pool(spark, d), 30).select(*_PICKED, "selection_score"))
 
 
-@register("SELECT strategy_type, tf, stage, 1::BIGINT * n AS n FROM (VALUES ('BASE', 1440, 'coarse', 48)) v(strategy_type, tf, stage, n)")
+@register(query(O.SWEPT, "SELECT strategy_type, tf, stage, count(*) AS n FROM swept GROUP BY ALL"))
 def store_counts(spark, d):
     return store.counts(swept(spark, d).select("strategy_type", "tf", "stage", *KEYS))
 

@@ -57,9 +57,9 @@ FULL = "segs AS (SELECT 'FULL' AS segment_id, 0 AS start_idx, max(idx) AS end_id
 
 
 def trades(keys: str, period: str = "0", least: int = 3) -> str:
-    """trades from set_runs (keys, first_idx, last_idx, side) and segs."""
+    """trades from set_runs (keys, first_idx, last_idx, side) and segs; a segment without a bar before its end has none."""
     return f"""cut_0 AS (SELECT set_runs.*, segment_id, CASE WHEN raised THEN greatest(start_idx, {period}) ELSE start_idx END AS a, least(end_idx, (SELECT max(idx) FROM bars)) AS e FROM set_runs, segs),
-cut AS (SELECT *, greatest(first_idx, a) AS f, least(last_idx, e - 1) AS z FROM cut_0 WHERE e - a >= {least} AND first_idx <= e - 1 AND last_idx >= a),
+cut AS (SELECT *, greatest(first_idx, a) AS f, least(last_idx, e - 1) AS z FROM cut_0 WHERE e - a >= {max(least, 1)} AND first_idx <= e - 1 AND last_idx >= a),
 deal AS (SELECT cut.*, f + 1 AS entry_idx, CASE WHEN z < e - 1 THEN z + 2 ELSE e END AS exit_idx FROM cut),
 fill AS (SELECT d.*, b.timestamp AS entry_ts, x.timestamp AS exit_ts, b.open * CASE WHEN side = 1 THEN 1.0::DOUBLE + {SLIP}::DOUBLE ELSE 1.0::DOUBLE - {SLIP}::DOUBLE END AS entry_price,
   CASE WHEN z < e - 1 THEN x.open ELSE x.close END * CASE WHEN side = 1 THEN 1.0::DOUBLE - {SLIP}::DOUBLE ELSE 1.0::DOUBLE + {SLIP}::DOUBLE END AS exit_price FROM deal d JOIN bars b ON b.idx = d.entry_idx JOIN bars x ON x.idx = d.exit_idx),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import backtest, evaluate, grid, indicators, select, walkforward
 from tickloom.sources.store import Store, signature
+from tickloom.sources.written import stash
 
 KEYS = ["atr_period", "mult_e4", "mode"]
 ADAPTIVE_KEYS = ["long_atr_period", "long_mult_e4", "short_atr_period", "short_mult_e4", "regime_id"]
@@ -52,7 +53,8 @@ def percent(text: str) -> float:
 def _stage(store: Store, name: str, candidates: DataFrame, candles: DataFrame, segments: DataFrame, config: Config) -> DataFrame:
     """Evaluate a stage's candidates (or read them, if the store has them) and return its retained rows."""
     if not store.complete("all", name):
-        runs = backtest.with_mode(indicators.trend_runs(candles, candidates), candidates)
+        candidates = stash(candidates, "candidates")
+        runs = backtest.with_mode(stash(indicators.trend_runs(candles, candidates), "runs"), candidates)
         rows = evaluate.evaluate(runs, candidates, KEYS, segments, candles, config.fee, config.slippage, config.min_trades, "atr_period")
         rows = rows.withColumns({"strategy_type": F.lit("BASE"), "stage": F.lit(name)})
         checks = candidates.count() * (segments.count() or 1)
@@ -63,17 +65,19 @@ def _stage(store: Store, name: str, candidates: DataFrame, candles: DataFrame, s
 
 
 def adaptive(candles: DataFrame, longs: DataFrame, shorts: DataFrame, regimes: DataFrame, segments: DataFrame, config: Config) -> DataFrame:
-    """All long x short x regime settings, from runs of each part made once: trends per component, regimes per setting."""
+    """All long x short x regime settings. Trends are made once a component and regimes once a configuration; each component
+    meets each regime once; a setting then is two tables of runs, by equality."""
     settings = grid.adaptive_product(longs, shorts, regimes)
-    trend = lambda df: indicators.trend_runs(candles, df.withColumn("mode", F.lit("BOTH")))
-    named = lambda df, side: df.withColumnsRenamed({"atr_period": f"{side}_atr_period", "mult_e4": f"{side}_mult_e4"})
-    keys = settings.select("symbol", "tf", *ADAPTIVE_KEYS)
-    regime = indicators.regime_runs(candles, regimes)
-    long_runs = named(trend(longs), "long").join(keys, ["symbol", "tf", "long_atr_period", "long_mult_e4"])
-    short_runs = named(trend(shorts), "short").join(keys, ["symbol", "tf", "short_atr_period", "short_mult_e4"])
-    order = ["symbol", "tf", *ADAPTIVE_KEYS, "first_idx", "last_idx", "side"]
-    wide = regime.join(keys, ["symbol", "tf", "regime_id"]).select(*order)
-    runs = indicators.combine_runs(long_runs.select(*order), short_runs.select(*order), wide, ADAPTIVE_KEYS)
+    keys = stash(settings.select("symbol", "tf", *ADAPTIVE_KEYS), "adaptive-settings")
+    regime = stash(indicators.regime_runs(candles, regimes), "regime-runs")
+
+    def parts(components: DataFrame, name: str, side: int) -> DataFrame:
+        own = [f"{name}_atr_period", f"{name}_mult_e4"]
+        trend = indicators.trend_runs(candles, components.withColumn("mode", F.lit("BOTH"))).withColumnsRenamed({"atr_period": own[0], "mult_e4": own[1]})
+        met = stash(indicators.meet_runs(trend, regime, side, []), f"{name}-parts")
+        return met.join(keys, ["symbol", "tf", "regime_id", *own]).select("symbol", "tf", *ADAPTIVE_KEYS, "first_idx", "last_idx", "side")
+
+    runs = parts(longs, "long", 1).unionByName(parts(shorts, "short", -1))
     rows = evaluate.evaluate(runs, keys, ADAPTIVE_KEYS, segments, candles, config.fee, config.slippage, config.min_trades, fused=True)
     return rows.join(settings.drop("id"), ["symbol", "tf", *ADAPTIVE_KEYS]).withColumns({"strategy_type": F.lit("ADAPTIVE_V2"), "stage": F.lit("adaptive_v2"), "mode": F.lit("ADAPTIVE"), "atr_period": F.lit(0), "mult_e4": F.lit(0).cast("long")})
 
@@ -83,11 +87,11 @@ def run(spark: SparkSession, candles: DataFrame, root: str, config: Config = Con
     root keeps every result and lets an interrupted run go on where it stopped."""
     preset = preset or grid.PRESETS[config.depth]
     plan = walkforward.plan(candles).where(F.col("windows") >= MIN_WINDOWS)
-    fit = plan.select("symbol", "tf", "holdout_start")
+    fit = stash(plan.select("symbol", "tf", "holdout_start"), "series")
     if not fit.limit(1).count():
         raise ValueError(f"no series has {MIN_WINDOWS} walk-forward windows")
-    candles = candles.join(F.broadcast(fit.select("symbol", "tf")), ["symbol", "tf"])
-    segments = walkforward.segments(candles, config.min_trades)
+    candles = stash(candles.join(F.broadcast(fit.select("symbol", "tf")), ["symbol", "tf"]), "candles")
+    segments = stash(walkforward.segments(candles, config.min_trades), "segments")
     store = Store(spark, root, signature(config.__dict__ | {"preset": str(preset)}, candles), config.__dict__)
     each = lambda g: g.crossJoin(F.broadcast(fit)).where("atr_period < holdout_start").drop("holdout_start")
     try:
@@ -96,7 +100,7 @@ def run(spark: SparkSession, candles: DataFrame, root: str, config: Config = Con
         tried.append(each(grid.breadth(spark, preset)))
         rows = rows.unionByName(_stage(store, "breadth", tried[1], candles, segments, config))
         for name, box in (("fine", preset.fine), ("cluster_wide", preset.wide), ("cluster_deep", preset.deep)):
-            seeds = select.choose_seeds(rows, box.seeds)
+            seeds = stash(select.choose_seeds(rows, box.seeds), "seeds")
             if name == "cluster_wide":
                 seeds = select.top_up(rows, seeds, box.seeds)
             candidates = grid.untried(grid.around(seeds, box), *tried)

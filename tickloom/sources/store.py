@@ -44,10 +44,10 @@ class Store:
         self._path = jvm.org.apache.hadoop.fs.Path
         self.fs = self._path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self.folder, self.resumed = f"{root.rstrip('/')}/run-{sign}", False
-        found = self._read(f"{self.folder}/manifest.json")
+        self.version, found = self._latest()
         if found and found["status"] == "complete":  # a finished run is never written again
             self.folder += time.strftime("-%Y%m%d%H%M%S")
-            found = None
+            self.version, found = 0, None
         if found:
             self.manifest, self.resumed = found, True
             self._purge()
@@ -55,25 +55,34 @@ class Store:
             self.manifest = {"signature": sign, "config": config or {}, "status": "running", "units": {}, "stages": {}, "seeds": {}, "rows": 0, "checks": 0}
             self._commit()
 
-    def _read(self, path: str) -> dict | None:
-        p = self._path(path)
-        if not self.fs.exists(p):
-            return None
-        stream = self.fs.open(p)
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
+    def _versions(self) -> list[tuple[int, str]]:
+        """The manifests that were committed, oldest first."""
+        top = self._path(self.folder)
+        names = [x.getPath().getName() for x in self.fs.listStatus(top)] if self.fs.exists(top) else []
+        return sorted((int(m[1]), n) for n in names if (m := re.fullmatch(r"manifest-([0-9]+)\.json", n)))
+
+    def _latest(self) -> tuple[int, dict | None]:
+        for version, name in reversed(self._versions()):
+            stream = self.fs.open(self._path(f"{self.folder}/{name}"))
+            try:
+                return version, json.loads(bytes(stream.readAllBytes()).decode())
+            finally:
+                stream.close()
+        return 0, None
 
     def _commit(self) -> None:
-        """The manifest in one step: written beside, then renamed over."""
-        new, place = self._path(f"{self.folder}/manifest.json.new"), self._path(f"{self.folder}/manifest.json")
+        """The manifest in one step: a new version is written beside, then renamed to a name that nothing has. Nothing is ever
+        overwritten, so whenever this is cut short the last version stands; older ones go after that."""
+        self.version += 1
+        new, place = self._path(f"{self.folder}/manifest.new"), self._path(f"{self.folder}/manifest-{self.version:09d}.json")
         stream = self.fs.create(new, True)
         stream.write(bytearray(json.dumps(self.manifest, sort_keys=True).encode()))
         stream.close()
         if not self.fs.rename(new, place):
-            self.fs.delete(place, False)
-            self.fs.rename(new, place)
+            raise OSError(f"another writer has {place}")
+        for version, name in self._versions():
+            if version < self.version:
+                self.fs.delete(self._path(f"{self.folder}/{name}"), False)
 
     def _purge(self) -> None:
         named = {u["folder"] for u in self.manifest["units"].values()} | set(self.manifest["seeds"].values())
