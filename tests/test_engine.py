@@ -10,6 +10,7 @@ from tickloom.functions import kernels as K
 from tickloom.operators import backtest, evaluate, grid, indicators, select, walkforward
 from tickloom.sources import candles as C
 from tickloom.sources import klines
+from tickloom.sources.bundle import damaged, write_bundle
 from tickloom.sources.store import Store, signature
 
 KEYS = ["atr_period", "mult_e4", "mode"]
@@ -180,6 +181,34 @@ def test_csv_round_trip(spark, tmp_path, bars):
         C.read_csv(spark, f"file://{tmp_path}/bad", "S", 60)
 
 
+def test_cached_files_are_found_by_what_they_hold(spark, tmp_path, bars):
+    C.write_csv(bars.where("idx < 400"), f"file://{tmp_path}/c")
+    catalog = C.cached_files(spark, f"file://{tmp_path}/c")
+    first, last = catalog.agg(F.min("first_ts"), F.max("last_ts")).first()
+    assert catalog.agg(F.sum("rows")).first()[0] == 400 and {(r.symbol, r.tf) for r in catalog.collect()} == {("S", 60)}
+    one = catalog.groupBy("symbol", "tf").agg(F.min("path").alias("path"), F.max("modified").alias("modified"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
+    assert C.find_reusable(one, "S", 60, first, last).count() == 1 and C.find_reusable(one, "S", 60, first, last + 400 * HOUR).count() == 0
+
+
+def test_bundle_tells_damage(spark, tmp_path):
+    views = {"a": spark.range(5), "b": spark.sql("SELECT 'x' AS c WHERE false")}
+    folder = f"file://{tmp_path}/bundle"
+    manifest = write_bundle(spark, views, folder).collect()
+    assert {r.name for r in manifest} >= {"a"} and all(len(r.sha256) == 64 and r.length > 0 for r in manifest)
+    assert damaged(spark, folder).count() == 0
+    next((tmp_path / "bundle/a").glob("*.csv")).write_text("id\n7\n")
+    for crc in (tmp_path / "bundle/a").glob(".*.crc"):
+        crc.unlink()
+    assert [r.name for r in damaged(spark, folder).collect()] == ["a"]
+
+
+def test_plan_refuses_disordered_times(spark):
+    rows = walk(500)
+    rows[7] = (*rows[7][:3], rows[6][3], *rows[7][4:])
+    with pytest.raises(Exception, match="rise strictly"):
+        walkforward.plan(frame(spark, rows)).collect()
+
+
 def test_quality_finds_faults(spark):
     rows = walk(20)
     rows[5] = (*rows[5][:3], rows[4][3], *rows[5][4:])
@@ -307,7 +336,12 @@ def test_search_runs_and_resumes(spark, tmp_path):
     bars = frame(spark, walk(24 * 240, step_ms=HOUR))
     tiny = grid.Preset(range(8, 21, 6), [15000, 30000], [(range(30, 41, 10), [20000], ("BOTH",))], grid.Box(1, 1, 0.1, 0.1, 0.15, 16.0), grid.Box(1, 1, 0.1, 0.1, 0.12, 18.0), grid.Box(1, 0, 0.02, 0.01, 0.1, 20.0), 1, {"ema": [(8, 21)], "adx_period": [14], "adx_threshold": [18], "separation_atr": [0.1], "confirm_bars": [2], "min_hold_bars": [3]})
     config = search.Config(depth="standard", months=1)
+    told = []
+    with pytest.raises(search.Stopped):
+        search.run(spark, bars, f"file://{tmp_path}/runs", config, tiny, stop=lambda: len(told) > 1, tell=told.append)
+    assert [x["stage"] for x in told] == ["start", "coarse"] and told[1]["checks"] > 0
     found = search.run(spark, bars, f"file://{tmp_path}/runs", config, tiny)
+    assert len(list((tmp_path / "runs").glob("run-*"))) == 1  # resumed
     assert found["base"].count() >= 18 and found["adaptive"].count() <= 1 and found["top"].count() >= 1
     stages = {r.stage for r in found["base"].select("stage").distinct().collect()}
     assert {"coarse", "breadth"} <= stages

@@ -14,7 +14,10 @@ MIN_CANDLES = 400
 
 
 def _bounds(candles: DataFrame) -> DataFrame:
-    df = candles.groupBy(*SERIES).agg(F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts"), F.count("*").alias("n"))
+    rising = F.col("timestamp") > F.coalesce(F.lag("timestamp").over(Window.partitionBy(*SERIES).orderBy("idx")), F.col("timestamp") - 1)
+    df = candles.withColumn("_rising", F.coalesce(rising, F.lit(False))).groupBy(*SERIES).agg(F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts"), F.count("*").alias("n"), F.bool_and("_rising").alias("_ok"))
+    # a series with duplicate, missing or disordered times has no plan: it is an error, not a guess
+    df = df.withColumn("n", F.when(F.col("_ok"), F.col("n")).otherwise(F.raise_error(F.concat(F.lit("timestamps do not rise strictly: "), F.col("symbol"))).cast("long"))).drop("_ok")
     df = df.where(F.col("n") >= MIN_CANDLES)
     days = F.greatest((F.col("last_ts") - F.col("first_ts")) / float(DAY_MS), F.lit(1.0))
     df = df.withColumn("total_days", days)

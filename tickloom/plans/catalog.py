@@ -6,10 +6,12 @@ both sides (floor(x * 1e6 + 0.5) / 1e6).
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators import backtest, evaluate, grid, indicators, reports, scoring, select, walkforward
+from tickloom.operators import audit, backtest, evaluate, grid, indicators, reports, scoring, select, walkforward
 from tickloom.sources import candles as C
 from tickloom.sources import store
 from tickloom.sources.written import stash
@@ -541,9 +543,9 @@ _TOP_ORDER = "robust_score DESC, validation_score DESC, selection_score DESC, st
 
 
 @register(query(f"{POOL}, {_greedy(_TOP_ORDER, 'abs(c.atr_period - r.atr_period) <= 1 AND abs(c.mult_e4 - r.mult_e4) <= 1200', 20, 'robust_score > -1e8', 'symbol, mode')}", f"""SELECT symbol, tf, atr_period, mult_e4, mode, {O.r('robust_score')} FROM (
-  SELECT *, CASE WHEN g <= 2 THEN 0 WHEN g IS NOT NULL THEN 1 ELSE 2 END AS stage FROM (
+  SELECT *, CASE WHEN g <= 2 THEN 0 WHEN g IS NOT NULL THEN 1 ELSE 2 END AS turn FROM (
     SELECT r.*, c.g FROM ranked r LEFT JOIN (SELECT symbol, mode, x.rn AS rn, row_number() OVER (PARTITION BY symbol, mode ORDER BY x.rn) AS g FROM chosen) c USING (symbol, mode, rn)))
-QUALIFY row_number() OVER (ORDER BY stage, CASE WHEN stage = 0 THEN tf END, CASE WHEN stage = 0 THEN symbol END, CASE WHEN stage = 0 THEN mode END, CASE WHEN stage = 0 THEN g END, {_TOP_ORDER}) <= 20"""))
+QUALIFY row_number() OVER (ORDER BY turn, CASE WHEN turn = 0 THEN tf END, CASE WHEN turn = 0 THEN symbol END, CASE WHEN turn = 0 THEN mode END, CASE WHEN turn = 0 THEN g END, {_TOP_ORDER}) <= 20"""))
 def diversified_top(spark, d):
     return rounded(select.diversified_top(pool(spark, d), 20).select(*_PICKED, "robust_score"))
 
@@ -584,7 +586,48 @@ def store_counts(spark, d):
     return store.counts(swept(spark, d).select("strategy_type", "tf", "stage", *KEYS))
 
 
-@register()
+_CONFIG = dict(symbol="ORDERS", months=18, tfs=[1440], fee=FEE, slippage=SLIP, depth="standard")
+
+
+@register(query(O.ORDERS, f"""SELECT substr(sha256('{{"config":' || '{json.dumps(_CONFIG, sort_keys=True, separators=(",", ":"))}' || ',"data":[{{"first_close":' || round(arg_min(close, timestamp), 8) || ',"first_ts":' || min(timestamp) || ',"last_close":' || round(arg_max(close, timestamp), 8) || ',"last_ts":' || max(timestamp) || ',"rows":' || count(*) || ',"symbol":"ORDERS","tf":1440}}],"version":"1"}}'), 1, 16) AS signature FROM bars"""))
 def run_signature(spark, d):
-    config = dict(symbol="ORDERS", months=18, tfs=[1440], fee=FEE, slippage=SLIP, depth="standard")
-    return spark.range(1).select(F.lit(store.signature(config, C.orders_daily(spark, d))).alias("signature"))
+    return spark.range(1).select(F.lit(store.signature(_CONFIG | {"workers": 3}, C.orders_daily(spark, d))).alias("signature"))
+
+
+@register(query(O.ORDERS, """SELECT 'ORDERS' AS symbol, 1440 AS tf, (row_number() OVER (ORDER BY timestamp) - 1)::BIGINT AS idx, timestamp, close FROM bars, (SELECT min(timestamp) AS a, max(timestamp) AS b FROM bars) WHERE timestamp BETWEEN a + 10 * 86400000::BIGINT AND b - 5 * 86400000::BIGINT AND timestamp + 86400000 <= b - 7 * 86400000::BIGINT"""))
+def candles_cleaned_span(spark, d):
+    """Cleaning within bounds, and without the bar that has not closed yet."""
+    bars = daily(spark, d)
+    a, b = bars.agg(F.min("timestamp"), F.max("timestamp")).first()
+    return C.clean(bars, "idx", "ORDERS", 1440, start_ms=a + 10 * C.DAY_MS, end_ms=b - 5 * C.DAY_MS, now_ms=b - 7 * C.DAY_MS).select("symbol", "tf", "idx", "timestamp", "close")
+
+
+@register("""WITH l(a, m) AS (VALUES (12, 22000), (7, 9000)), s(a, m) AS (VALUES (20, 31000)), r AS (SELECT unnest(range(0, 24)) AS regime_id)
+SELECT 'S' AS symbol, 60 AS tf, l.a AS long_atr_period, l.m::BIGINT AS long_mult_e4, s.a AS short_atr_period, s.m::BIGINT AS short_mult_e4, regime_id FROM l, s, r""")
+def adaptive_settings(spark, d):
+    """Long x short components x regimes of each series."""
+    rows = lambda *v: spark.createDataFrame([("S", 60, *x) for x in v], "symbol string, tf int, atr_period int, mult_e4 long")
+    made = grid.adaptive_product(rows((12, 22000), (7, 9000)), rows((20, 31000)), grid.regime_grid(spark, _PRESET.regimes))
+    return made.select("symbol", "tf", "long_atr_period", "long_mult_e4", "short_atr_period", "short_mult_e4", "regime_id")
+
+
+_LEADERS = ((1, 7, 10000, "BOTH"), (2, 14, 30000, "LONG"), (3, 21, 50000, "SHORT"), (4, 14, 30000, "BOTH"))
+_AUDITED = f"""{O.ORDERS}, {O.TR}, {O.trend("SELECT DISTINCT p, m FROM (VALUES " + ", ".join(f"({p}, {m})" for _, p, m, _ in _LEADERS) + ") v(p, m)")}, {_SIG}, {O.runs('sig', 'atr_period, mult_e4', 't', 'i')},
+set_runs AS (SELECT rank, first_idx, last_idx, side FROM runs JOIN (VALUES {", ".join(str(x) for x in _LEADERS)}) v(rank, p, m, mode) ON p = atr_period AND m = mult_e4 WHERE mode = 'BOTH' OR side = CASE mode WHEN 'LONG' THEN 1 ELSE -1 END), {O.PLAN}, {_PARTS}, segs AS (SELECT part AS segment_id, a AS start_idx, b AS end_idx, false AS raised FROM parts), {O.trades('rank', least=0)}"""
+
+
+@register(query(_AUDITED, "SELECT rank, segment_id, side, entry_idx, exit_idx, entry_price, exit_price, gross, net FROM trades"))
+def audit_leaders(spark, d):
+    """The signals of chosen rows rebuilt, and their trades by part."""
+    bars = daily(spark, d)
+    rows = spark.createDataFrame([("BASE", "ORDERS", 1440, *x) for x in _LEADERS], "strategy_type string, symbol string, tf int, rank int, atr_period int, mult_e4 long, mode string")
+    return audit.audit(bars, rows, walkforward.plan(bars), FEE, SLIP).select("rank", "segment_id", "side", "entry_idx", "exit_idx", "entry_price", "exit_price", "gross", "net")
+
+
+@register(query(f"{O.ADAPTIVE}, {O.PLAN}, {_PARTS}, segs AS (SELECT part AS segment_id, a AS start_idx, b AS end_idx, false AS raised FROM parts), {O.trades('one', least=0)}", "SELECT 1 AS rank, segment_id, side, entry_idx, exit_idx, gross, net FROM trades"))
+def audit_adaptive(spark, d):
+    bars = daily(spark, d)
+    row = {"strategy_type": "ADAPTIVE_V2", "symbol": "ORDERS", "tf": 1440, "rank": 1, "long_atr_period": O.LONG[0], "long_mult_e4": O.LONG[1], "short_atr_period": O.SHORT[0], "short_mult_e4": O.SHORT[1], **O.REGIME}
+    kind = {"long_mult_e4": "long", "short_mult_e4": "long", "strategy_type": "string", "symbol": "string", "adx_threshold": "double", "separation_atr": "double"}
+    rows = spark.createDataFrame([tuple(row.values())], ", ".join(f"{c} {kind.get(c, 'int')}" for c in row))
+    return audit.audit(bars, rows, walkforward.plan(bars), FEE, SLIP).select("rank", "segment_id", "side", "entry_idx", "exit_idx", "gross", "net")

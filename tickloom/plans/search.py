@@ -7,6 +7,7 @@ written to the store as one unit, and is skipped on resume.
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,7 +58,8 @@ def _stage(store: Store, name: str, candidates: DataFrame, candles: DataFrame, s
         runs = backtest.with_mode(stash(indicators.trend_runs(candles, candidates), "runs"), candidates)
         rows = evaluate.evaluate(runs, candidates, KEYS, segments, candles, config.fee, config.slippage, config.min_trades, "atr_period")
         rows = rows.withColumns({"strategy_type": F.lit("BASE"), "stage": F.lit(name)})
-        checks = candidates.count() * (segments.count() or 1)
+        per = segments.groupBy("symbol", "tf").agg(F.count("*").alias("_s"))
+        checks = candidates.join(per, ["symbol", "tf"]).agg(F.coalesce(F.sum("_s"), F.lit(0))).first()[0]  # a setting and a segment of its series
         store.queue("all", name, "grid", rows, checks)
         written = store.spark.read.parquet(f"{store.folder}/data/{store.manifest['units'][f'all|{name}|grid']['folder']}")
         store.save_seed("all", name, select.retain(written, config.retain), checks=checks)
@@ -82,8 +84,27 @@ def adaptive(candles: DataFrame, longs: DataFrame, shorts: DataFrame, regimes: D
     return rows.join(settings.drop("id"), ["symbol", "tf", *ADAPTIVE_KEYS]).withColumns({"strategy_type": F.lit("ADAPTIVE_V2"), "stage": F.lit("adaptive_v2"), "mode": F.lit("ADAPTIVE"), "atr_period": F.lit(0), "mult_e4": F.lit(0).cast("long")})
 
 
-def run(spark: SparkSession, candles: DataFrame, root: str, config: Config = Config(), preset: grid.Preset | None = None) -> dict[str, DataFrame]:
-    """The whole search. Returns ``base`` (retained base rows), ``adaptive`` (retained adaptive rows) and ``top``; the store at
+class Stopped(Exception):
+    """The caller asked for the search to stop; the store is left to be resumed."""
+
+
+class Progress:
+    """Told after every stage: the stage, how many checks the store has and how many a second were made since the start."""
+
+    def __init__(self, stop=None, tell=None):
+        self.stop, self.tell, self.began, self.before = stop, tell, time.monotonic(), None
+
+    def stage(self, name: str, store: Store) -> None:
+        done = store.summary()["checks"]
+        self.before = done if self.before is None else self.before
+        if self.tell:
+            self.tell({"stage": name, "checks": done, "rate": (done - self.before) / max(1e-9, time.monotonic() - self.began)})
+        if self.stop and self.stop():
+            raise Stopped(name)
+
+
+def run(spark: SparkSession, candles: DataFrame, root: str, config: Config = Config(), preset: grid.Preset | None = None, stop=None, tell=None) -> dict[str, DataFrame]:
+    """The whole search. stop, asked between stages, ends it where it can be resumed; tell gets a dict after every stage. Returns ``base`` (retained base rows), ``adaptive`` (retained adaptive rows) and ``top``; the store at
     root keeps every result and lets an interrupted run go on where it stopped."""
     preset = preset or grid.PRESETS[config.depth]
     plan = walkforward.plan(candles).where(F.col("windows") >= MIN_WINDOWS)
@@ -94,11 +115,15 @@ def run(spark: SparkSession, candles: DataFrame, root: str, config: Config = Con
     segments = stash(walkforward.segments(candles, config.min_trades), "segments")
     store = Store(spark, root, signature(config.__dict__ | {"preset": str(preset)}, candles), config.__dict__)
     each = lambda g: g.crossJoin(F.broadcast(fit)).where("atr_period < holdout_start").drop("holdout_start")
+    progress = Progress(stop, tell)
     try:
+        progress.stage("start", store)
         tried = [each(grid.coarse(spark, preset))]
         rows = _stage(store, "coarse", tried[0], candles, segments, config)
+        progress.stage("coarse", store)
         tried.append(each(grid.breadth(spark, preset)))
         rows = rows.unionByName(_stage(store, "breadth", tried[1], candles, segments, config))
+        progress.stage("breadth", store)
         for name, box in (("fine", preset.fine), ("cluster_wide", preset.wide), ("cluster_deep", preset.deep)):
             seeds = stash(select.choose_seeds(rows, box.seeds), "seeds")
             if name == "cluster_wide":
@@ -106,6 +131,7 @@ def run(spark: SparkSession, candles: DataFrame, root: str, config: Config = Con
             candidates = grid.untried(grid.around(seeds, box), *tried)
             tried.append(candidates)
             rows = rows.unionByName(_stage(store, name, candidates, candles, segments, config))
+            progress.stage(name, store)
         base = select.retain(rows, config.retain * 2)
         if not store.complete("all", "adaptive_v2"):
             longs, shorts = (select.components(base, m, preset.components) for m in ("LONG", "SHORT"))

@@ -101,6 +101,16 @@ def require_enough(candles: DataFrame, least: int = MIN_CANDLES) -> DataFrame:
     return candles
 
 
+def cached_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The catalog of candle files under a folder that write_csv made: path, modified, symbol, tf, first_ts, last_ts, rows.
+    Files that are being written (names with . or _ in front) and rows without a time do not count."""
+    df = spark.read.option("header", True).option("recursiveFileLookup", False).csv(folder)
+    if not {"symbol", "tf", "timestamp"} <= set(df.columns):
+        raise ValueError(f"{folder} has no candles by symbol and tf")
+    df = df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), F.col("symbol").cast("string").alias("symbol"), F.col("tf").cast("int").alias("tf"), F.expr("try_cast(timestamp AS bigint)").alias("t"))
+    return df.where("t is not null").groupBy("path", "modified", "symbol", "tf").agg(F.min("t").alias("first_ts"), F.max("t").alias("last_ts"), F.count("*").alias("rows"))
+
+
 def find_reusable(catalog: DataFrame, symbol: str, tf: int, start_ms: int, end_ms: int) -> DataFrame:
     """Of cached tables (path, modified, symbol, tf, first_ts, last_ts, rows), the newest that covers a span: gaps at both ends
     of at most max(3 bars, 1 % of the span), and 99 % of it covered."""
