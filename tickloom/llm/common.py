@@ -1,56 +1,16 @@
-"""What the corpus operators share: the shared work folder, written tables, word and running-total expressions."""
+"""What the corpus operators share: written tables, texts and words, running totals."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.sources.written import discard, stash, work_dir  # noqa: F401
+
 #: The six characters between words: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\f\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 
-_own_dirs: dict[str, str] = {}
-
-
-def work_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share.
-
-    ``spark.checkpoint.dir`` names it; only where that is unset (single-machine tests) a temporary folder is made.
-    """
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="tickloom-")
-            spark.sparkContext.setCheckpointDir(base)
-        _own_dirs[app] = f"{base.rstrip('/')}/tickloom-{app}"
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(_own_dirs[app])
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return _own_dirs[app]
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: later steps no longer depend on executors' state."""
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back.stashed_at = path
-    return back
-
-
-def discard(*written: DataFrame) -> None:
-    """Remove tables that stash wrote and that nothing reads any more."""
-    for df in written:
-        context = df.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(df.stashed_at)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def batches(df: DataFrame, megabytes: int = 8) -> DataFrame:
     """df as it is; from now on the session's Arrow batches hold so many megabytes at most, so that long rows can't fill a worker."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
