@@ -88,18 +88,20 @@ def test_attention_is_causal_and_a_distribution(monkeypatch):
     t = r.integers(0, 199, 90).astype(np.int32)
     u = t.copy()
     u[60:] = (u[60:] + 7) % 199
-    assert np.allclose(m.symbol_logs([t])[:60], m.symbol_logs([u])[:60], atol=1e-5)
-    given, target, real, follows = m.windows([t])
+    t[-1] = u[-1] = 199
+    logs_of = lambda *x: m.symbol_logs(*lm.joined(list(x)))
+    assert np.allclose(logs_of(t)[:60], logs_of(u)[:60], atol=1e-5)
+    given, target, real, follows = m.windows(*lm.joined([t]))
     gate, _ = m.attend(given, follows)
     gate /= gate.sum(2, keepdims=True)
     assert np.allclose((gate.reshape(-1, lm.COMPONENTS) @ m.emit.T).sum(1), 1, atol=1e-4)
     plain = np.log10(np.einsum("abk,abk->ab", gate, m.emit[target]))[real]
-    assert np.allclose(plain, m.symbol_logs([t]), atol=1e-4) and real.sum() == len(t)
+    assert np.allclose(plain, logs_of(t), atol=1e-4) and real.sum() == len(t)
     starts = np.array([0, 17, 40, 100, 179])
-    logs, states = m.symbol_logs([t, u], starts)
-    assert np.allclose(logs, np.concatenate([m.symbol_logs([t]), m.symbol_logs([u])]), atol=1e-5) and len(states) == 5
+    logs, states = m.symbol_logs(*lm.joined([t, u]), starts)
+    assert np.allclose(logs, np.concatenate([logs_of(t), logs_of(u)]), atol=1e-5) and len(states) == 5
     monkeypatch.setattr(lm, "ROWS", 2)  # long texts in slices: the same
-    again, same = m.symbol_logs([t, u], starts)
+    again, same = m.symbol_logs(*lm.joined([t, u]), starts)
     assert np.allclose(logs, again, atol=1e-5) and (states == same).all()
 
 
@@ -111,7 +113,7 @@ def test_gradients_of_slices_add_up(monkeypatch):
 
     def total():
         out = np.zeros((50, lm.SUMS))
-        for _, given, target, real, follows in m.slices(texts):
+        for _, given, target, real, follows in m.slices(*lm.joined(texts)):
             share, _, tables, _ = m.gradients(given, target, real, follows)
             hit, sums = lm.by_id(given, target, share, tables)
             out[hit] += sums
@@ -123,9 +125,9 @@ def test_gradients_of_slices_add_up(monkeypatch):
     assert np.allclose(whole, total(), atol=1e-3)
     x = np.concatenate(texts)
     at, step = int(x[5]), 1e-2  # against a difference quotient
-    before = m.symbol_logs(texts).sum() * math.log(10)
+    before = m.symbol_logs(*lm.joined(texts)).sum() * math.log(10)
     m.q[at, 0] += step
-    after = m.symbol_logs(texts).sum() * math.log(10)
+    after = m.symbol_logs(*lm.joined(texts)).sum() * math.log(10)
     assert (after - before) / step == pytest.approx(whole[at, lm.COMPONENTS], abs=0.05)
 
 
@@ -133,7 +135,7 @@ def test_training_learns_order():
     text = np.array(([1, 2, 3, 4] * 30) + [9], np.int32)
     m = lm.train([text] * 40, 10)
     flat = np.log10(lm.unigram(np.bincount(text, minlength=10).astype(float)))[text].sum()
-    assert m.symbol_logs([text]).sum() > flat + 20
+    assert m.symbol_logs(*lm.joined([text])).sum() > flat + 20
 
 
 def test_words_are_a_distribution():
@@ -145,8 +147,8 @@ def test_words_are_a_distribution():
     head = lm.Words(words, n, by_state, 10, 0.0, states)
     for state in (0, 1, 7):
         assert head.whole(np.arange(3), np.full(3, state)).sum() == pytest.approx(1)
-    numbers = r.integers(0, 4, 50)
-    assert lm.earlier(numbers).tolist() == [int((numbers[:i] == x).sum()) for i, x in enumerate(numbers)]
+    numbers, text = r.integers(0, 4, 50), np.repeat([0, 1, 2], [20, 1, 29])
+    assert lm.earlier(numbers, text).tolist() == [int(((numbers == x) & (text == text[i]))[:i].sum()) for i, x in enumerate(numbers)]
     for at in (0, 1, 30):  # four words of known probability, of which three are spelt
         before = np.array([at - at // 3, at // 3, 0, 0])
         p = 10.0 ** lm.drawn(np.log10([0.2, 0.3, 0.4, 0.1]), np.full(4, at), before, np.array([0.5, 0.3, 0.2, 0]))
@@ -154,6 +156,23 @@ def test_words_are_a_distribution():
         assert p.sum() == pytest.approx(1 if at else 1 - share)
 
 
+def test_pieces_hold_the_words_of_their_texts():
+    import pyarrow as pa
+
+    texts = ["", " \n", "A b\tc", " Ä b  é\x0b ", "x", "a b c " * 30, "\x1c\x85\u00a0 word\u2003word"]
+    ids = lm.Ids(lm.VOCABULARY)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["i", "text"])
+    for most in (1, 1 << 20):
+        got, hashes = [], []
+        for piece in lm._pieces([batch], ids, most):
+            words = [ids.words[k] for k in piece.numbers]
+            got += [words[a : a + n - 1] for a, n in zip(piece.first, piece.counts)]
+            assert all(words[a + n - 1] == lm.END_WORD for a, n in zip(piece.first, piece.counts)) and piece.symbol_counts.sum() == len(piece.symbols)
+            hashes += piece.blocks()[1].tolist()
+        assert got == [lm._words(t.encode()) for t in texts]
+        assert len(hashes) == sum(-(-(len(t) + 1) // lm.PHRASE) for t in got) and len(set(hashes)) == len(hashes) - 1  # two texts are empty
+
+
 def test_sums_are_of_all_training_texts(docs, monkeypatch):
     seen, put = [], lm.improve
     monkeypatch.setattr(lm, "improve", lambda model, ids, sums: (seen.append(sums[ids >= 0, : lm.COMPONENTS].sum()), put(model, ids, sums))[1])
@@ -195,17 +214,19 @@ def test_the_end_is_known_whatever_the_head(docs, monkeypatch):
 
 def test_weights_come_from_all_training_texts_in_any_order(spark, docs, monkeypatch):
     monkeypatch.setattr(lm, "SAMPLE_DOCS", 2)
-    learn = docs.limit(40).select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    learn = docs.limit(40).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     (a, counts, blocks), (b, _, _) = lm.fit(learn, lm.VOCABULARY), lm.fit(learn.orderBy(F.desc("doc_id")), lm.VOCABULARY)
     ids = lm.Ids(lm.VOCABULARY)
-    texts = [lm._words(bytes(r.text)) for r in learn.collect()]
-    seen = {int(x) for t in texts for x in ids.ids(ids.numbers(t))}
+    texts = [lm._words(r.text.encode()) for r in learn.collect()]
+    seen = {int(x) for t in texts for x in ids.ids(np.append(ids.numbers(t), 0))}
     assert a.gate[sorted(seen)].any(1).all()
     assert np.allclose(a.gate, b.gate, atol=1e-3)
     want = Counter(w for t in texts for w in (*t, lm.END_WORD))
     rows = {bytes(r.word): r for r in counts.collect()}
     assert {w: r.n for w, r in rows.items()} == dict(want) and all(sum(x.times for x in r.by_state) == r.n for r in rows.values())
-    assert {r.phrase: r.n for r in blocks.collect()} == Counter(h for t in texts for h in lm.phrases(t))
+    every = [[*t, lm.END_WORD] for t in texts]
+    want = Counter(tuple(t[k : k + lm.PHRASE]) for t in every for k in range(0, len(t), lm.PHRASE))
+    assert sorted(r.n for r in blocks.collect()) == sorted(want.values())
 
 
 # --- 2: personal data ---
@@ -459,6 +480,15 @@ def test_warc_round_trip(spark):
         assert len(list(warc.parse_records(whole))) == len(index)
 
 
+def test_warc_of_repeated_rows_and_ties(spark):
+    """Rows that tie for the largest page_id are all responses; repeated rows are records of their own; null ids come first."""
+    body = "tie " * 400
+    rows = [(9, "a", body), (9, "b", body), (9, "b", body), (4, "c", body), (4, "c", body), (None, "d", body), (None, None, None), (None, None, None), (3, "", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"record": F.lit(1), "index": F.lit(2), "_n": F.lit(3)})
+    got = Counter((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.read_archives(warc.write_archives(df)).collect())
+    assert got == {(9, "response", None, 1600): 3, (4, "revisit", 9, 1600): 2, (None, "revisit", 9, 1600): 1, (None, "response", None, 0): 2, (3, "response", None, 0): 1}
+
+
 # --- 8: media ---
 
 

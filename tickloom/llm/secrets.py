@@ -1,10 +1,11 @@
 """Secret scans (operator 9): formatted secrets by pattern, unformatted ones by sliding-window entropy.
 
 Base spans are leftmost, non-overlapping matches of three patterns. The method then takes every run of 20 or more
-characters that a credential may hold, cuts it at class changes that credentials don't have, and slides a window of
-WINDOW characters along it. The window's Shannon entropy is kept by counts: one character enters, one leaves, and the
+characters that a credential may hold, cuts it at dots (which part names and versions), and slides a window of
+WINDOW characters along it. Runs without a digit or without a letter are taken for words or numbers and not scored. The window's Shannon entropy is kept by counts: one character enters, one leaves, and the
 sum of c * log2(c) changes by two table look-ups. Windows above their character class's threshold, and touching each
-other, make one span, unless an allow-list rule takes the run for something public.
+other, make one span, unless an allow-list rule takes the run for something public. A span that overlaps a base span is
+that secret again and is left out.
 
 One pass over the texts, no shuffle; a worker holds one Arrow batch. A null text is empty; empty tables give empty
 results; repeated rows are scanned one by one; other columns are ignored. Offsets count code points, ends exclusive.
