@@ -152,6 +152,22 @@ def test_short_history_has_no_plan(spark):
     assert walkforward.segments(frame(spark, walk(399))).count() == 0
 
 
+def test_empty_and_odd_candles_have_defined_results(spark, bars):
+    """No candles: no runs, no plan, no rows; null ticks count for nothing; repeated ticks count twice; other columns are ignored."""
+    none = bars.where("false")
+    g = spark.createDataFrame([("S", 60, 14, 25000, "BOTH")], "symbol string, tf int, atr_period int, mult_e4 long, mode string")
+    assert indicators.trend_runs(none, g).count() == 0 and indicators.trend_runs(bars, g.where("false")).count() == 0
+    config = spark.createDataFrame([(0, 8, 21, 14, 20.0, 0.15, 3, 6)], "regime_id long, ema_fast int, ema_slow int, adx_period int, adx_threshold double, separation_atr double, confirm_bars int, min_hold_bars int")
+    assert indicators.regime_runs(none, config).count() == 0 and indicators.regime_runs(bars, config.where("false")).count() == 0
+    assert walkforward.plan(none).count() == 0 and walkforward.windows(none).count() == 0 and C.quality(none).count() == 0
+    runs = backtest.with_mode(indicators.trend_runs(none, g), g)
+    assert backtest.metrics(backtest.trades(runs, walkforward.whole_range(none), none, KEYS, 0.0, 0.0), KEYS).count() == 0
+    assert evaluate.evaluate(runs, g.where("false"), KEYS, walkforward.segments(none), none, 0.0, 0.0, 1).count() == 0
+    ticks = spark.createDataFrame([("S", 5, 1, 100), ("S", 5, 1, 100), ("S", None, 2, 100), ("S", 7, 3, None), ("T", 70_000, 4, -50)], "symbol string, ms long, seq long, step long").withColumn("cum", F.lit(9))
+    got = sorted((r.symbol, r.idx, r.timestamp, r.high, r.close, r.volume) for r in C.walk_candles(ticks, 10.0, 60_000, 1).collect())
+    assert got == [("S", 0, 0, 12.0, 12.0, 2.0), ("T", 0, 60_000, 9.5, 9.5, 1.0)]
+
+
 def test_evaluation_has_a_row_a_setting(spark, bars):
     g = grid.product(spark, [14], [25000]).crossJoin(bars.select("symbol", "tf").distinct())
     df = evaluate.evaluate(backtest.with_mode(indicators.trend_runs(bars, g), g), g, KEYS, walkforward.segments(bars, 24), bars, 0.00055, 0.0002, 24, "atr_period")

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.sources.written import stash
+
 from . import backtest, scoring
 from .indicators import SERIES
 
@@ -16,7 +18,7 @@ def evaluate(runs: DataFrame, settings: DataFrame, keys: list[str], segments: Da
     """settings: one row a (series, keys). Results: selection_, validation_ and wf_ window statistics, up_, down_ and flat_
     regime statistics, train_ (research) and test_ (hold-out) metrics, selection_score, validation_score, robust_score."""
     group = [*SERIES, *keys]
-    made = backtest.trades(runs, segments, candles, keys, fee, slippage, raise_to)
+    made = stash(backtest.trades(runs, segments, candles, keys, fee, slippage, raise_to), "trades")  # phases, months and windows read them
     kinds = segments.select(*SERIES, "segment_id", "phase", "regime", "min_trades")
     asked = settings.select(*group).distinct().join(kinds, list(SERIES))
     is_phase = F.col("segment_id").isin(*PHASES)

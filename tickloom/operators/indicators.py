@@ -13,6 +13,13 @@ from tickloom.functions import kernels as K
 SERIES = ("symbol", "tf")
 
 
+_PANDAS = {"string": object, "int": np.int32, "long": np.int64, "double": np.float64}
+
+
+def _no_rows(schema: str) -> pd.DataFrame:
+    return pd.DataFrame({name: pd.Series([], dtype=_PANDAS[kind]) for name, kind in (c.split() for c in schema.split(", "))})
+
+
 def _by_time():
     return Window.partitionBy(*SERIES).orderBy("idx")
 
@@ -103,7 +110,7 @@ def trend_runs(candles: DataFrame, grid: DataFrame) -> DataFrame:
 
     def run(bars: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(bars) or not len(asked):
-            return pd.DataFrame({c.split()[0]: [] for c in _RUNS.split(", ")})
+            return _no_rows(_RUNS)
         bars, high, low, close = _prices(bars)
         period, mults = int(asked["atr_period"].iloc[0]), np.sort(asked["mult_e4"].to_numpy())
         trend = K.band_trend(high, low, close, K.wilder_atr(high, low, close, period), mults / 10000.0)
@@ -149,7 +156,7 @@ def regime_runs(candles: DataFrame, configs: DataFrame, groups: int = 64) -> Dat
                 regime = K.confirmed_regime(K.raw_regime(fast, slow, strength, reach, p["adx_threshold"], p["separation_atr"], confirm), confirm, p["min_hold_bars"])
                 first, last, side = K.run_lengths(regime)
                 out.append(pd.DataFrame({"symbol": bars["symbol"].iloc[0], "tf": bars["tf"].iloc[0], "regime_id": int(p["regime_id"]), "first_idx": at[first], "last_idx": at[last], "side": side.astype(np.int32)}))
-        return pd.concat(out) if out else pd.DataFrame({c.split()[0]: [] for c in _REGIME_RUNS.split(", ")})
+        return pd.concat(out) if out else _no_rows(_REGIME_RUNS)
 
     keys = [*SERIES, "deal"]
     asked = asked.toDF(*asked.columns)

@@ -64,11 +64,11 @@ def _trades(spark: SparkSession, sf_dir: str, mode: str = "BOTH") -> DataFrame:
     return backtest.trades(runs, walkforward.whole_range(bars), bars, KEYS, FEE, SLIP)
 
 
-def swept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The small sweep that the report queries share, in the flat result form."""
+def swept(spark: SparkSession, sf_dir: str, periods=O.PERIODS, mults=O.MULTS) -> DataFrame:
+    """A sweep in the flat result form; the small one, unless told otherwise, is what the report queries share."""
     bars = daily(spark, sf_dir)
-    g = _grid(spark, bars, O.PERIODS, O.MULTS, O.MODES)
-    runs = backtest.with_mode(indicators.trend_runs(bars, g), g)
+    g = stash(_grid(spark, bars, periods, mults, O.MODES), "grid")
+    runs = stash(backtest.with_mode(indicators.trend_runs(bars, g), g), "runs")
     df = evaluate.evaluate(runs, g, KEYS, planned(bars), bars, FEE, SLIP, MIN_TRADES, "atr_period")
     return stash(df.withColumns({"strategy_type": F.lit("BASE"), "stage": F.lit("coarse")}), "swept")
 

@@ -25,21 +25,23 @@ def month_code(ms: Column) -> Column:
     return (F.year(day) * 100 + F.month(day)).cast("int")
 
 
-def walk_candles(ticks: DataFrame, base: float, bar_ms: int, symbol: str, tf: int) -> DataFrame:
-    """Bars of the walk base + (running sum of step) / 100 over ticks (ms, seq, step), ordered by (ms, seq).
+def walk_candles(ticks: DataFrame, base: float, bar_ms: int, tf: int) -> DataFrame:
+    """Bars of each symbol's walk base + (running sum of step) / 100 over ticks (symbol, ms, seq, step), ordered by (ms, seq).
 
-    Sums run inside each bar in parallel; only bar totals (one row a bar) meet in one ordered window. All sums are
-    integers, so prices do not depend on the order of addition.
+    Sums run inside each bar in parallel; only a symbol's bar totals (one row a bar) meet in one ordered window. All sums
+    are integers, so prices do not depend on the order of addition. A tick without time or step counts for nothing; ticks
+    that tie in (ms, seq) may come in either order; no ticks make no bars.
     """
-    inside = Window.partitionBy("bar").orderBy("ms", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    df = ticks.withColumn("bar", (F.floor(F.col("ms") / bar_ms) * bar_ms).cast("long")).withColumn("cum", F.sum("step").over(inside))
+    inside = Window.partitionBy("symbol", "bar").orderBy("ms", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    df = ticks.select("symbol", "ms", "seq", "step").dropna(subset=["ms", "step"])
+    df = df.withColumn("bar", (F.floor(F.col("ms") / bar_ms) * bar_ms).cast("long")).withColumn("cum", F.sum("step").over(inside))
     order = F.struct("ms", "seq")
-    bars = df.groupBy("bar").agg(F.min_by("cum", order).alias("o"), F.max("cum").alias("h"), F.min("cum").alias("l"), F.max_by("cum", order).alias("c"), F.count("*").alias("n"), F.sum(F.abs("step")).alias("t"))
-    before = Window.orderBy("bar").rowsBetween(Window.unboundedPreceding, -1)
-    bars = bars.withColumn("b", F.coalesce(F.sum("c").over(before), F.lit(0)))
+    bars = df.groupBy("symbol", "bar").agg(F.min_by("cum", order).alias("o"), F.max("cum").alias("h"), F.min("cum").alias("l"), F.max_by("cum", order).alias("c"), F.count("*").alias("n"), F.sum(F.abs("step")).alias("t"))
+    by_bar = Window.partitionBy("symbol").orderBy("bar")
+    bars = bars.withColumn("b", F.coalesce(F.sum("c").over(by_bar.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     price = lambda c: F.lit(base) + (F.col("b") + F.col(c)) / F.lit(100.0)
     return bars.select(
-        F.lit(symbol).alias("symbol"), F.lit(tf).alias("tf"), (F.row_number().over(Window.orderBy("bar")) - 1).cast("long").alias("idx"), F.col("bar").alias("timestamp"),
+        "symbol", F.lit(tf).alias("tf"), (F.row_number().over(by_bar) - 1).cast("long").alias("idx"), F.col("bar").alias("timestamp"),
         price("o").alias("open"), price("h").alias("high"), price("l").alias("low"), price("c").alias("close"), F.col("n").cast("double").alias("volume"), F.col("t").cast("double").alias("turnover"),
     )
 
@@ -47,15 +49,15 @@ def walk_candles(ticks: DataFrame, base: float, bar_ms: int, symbol: str, tf: in
 def orders_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars of a signed walk over orders."""
     cents = F.round(F.col("o_totalprice") * 100).cast("long")
-    ticks = spark.read.parquet(f"{sf_dir}/orders.parquet").select(epoch_ms("o_orderdate").alias("ms"), F.col("o_orderkey").alias("seq"), F.when(F.col("o_custkey") % 2 == 0, cents).otherwise(-cents).alias("step"))
-    return walk_candles(ticks, 250_000_000.0, DAY_MS, "ORDERS", 1440)
+    ticks = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.lit("ORDERS").alias("symbol"), epoch_ms("o_orderdate").alias("ms"), F.col("o_orderkey").alias("seq"), F.when(F.col("o_custkey") % 2 == 0, cents).otherwise(-cents).alias("step"))
+    return walk_candles(ticks, 250_000_000.0, DAY_MS, 1440)
 
 
 def events_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly bars of a signed walk over events."""
     cents = F.round(F.col("value") * 100).cast("long")
-    ticks = spark.read.parquet(f"{sf_dir}/events.parquet").select(epoch_ms("ts").alias("ms"), F.col("event_id").alias("seq"), F.when(F.col("user_id") % 2 == 0, cents).otherwise(-cents).alias("step"))
-    return walk_candles(ticks, 100_000.0, 3_600_000, "EVENTS", 60)
+    ticks = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.lit("EVENTS").alias("symbol"), epoch_ms("ts").alias("ms"), F.col("event_id").alias("seq"), F.when(F.col("user_id") % 2 == 0, cents).otherwise(-cents).alias("step"))
+    return walk_candles(ticks, 100_000.0, 3_600_000, 60)
 
 
 _NUMBERS = ("timestamp", "open", "high", "low", "close", "volume", "turnover")
