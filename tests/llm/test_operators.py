@@ -173,6 +173,18 @@ def test_pieces_hold_the_words_of_their_texts():
         assert len(hashes) == sum(-(-(len(t) + 1) // lm.PHRASE) for t in got) and len(set(hashes)) == len(hashes) - 1  # two texts are empty
 
 
+def test_words_are_encoded_one_by_one():
+    r = random.Random(8)
+    parts = ["a", "Zeit", "é", "😀", "'s", "12", "-", "\u00a0", "\u2003", "..", "\x85", "\x1c", "ñandú", "!", "\u3000x"]
+    words = list(dict.fromkeys("".join(r.choice(parts) for _ in range(r.randint(1, 6))) for _ in range(3000)))
+    raw = [w.encode() for w in words] + [b"\xff\xfebad", b"\xe9"]
+    ids = lm.Ids(lm.VOCABULARY)
+    numbers = ids.numbers(raw)
+    got = np.split(ids.ids(numbers), np.cumsum(ids.size[numbers])[:-1])
+    for w, x in zip(raw, got):
+        assert x.tolist() == ids.encoding.encode_ordinary(" " + w.decode("utf-8", "replace")), w
+
+
 def test_sums_are_of_all_training_texts(docs, monkeypatch):
     seen, put = [], lm.improve
     monkeypatch.setattr(lm, "improve", lambda model, ids, sums: (seen.append(sums[ids >= 0, : lm.COMPONENTS].sum()), put(model, ids, sums))[1])
