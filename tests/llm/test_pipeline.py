@@ -93,7 +93,7 @@ def test_odd_rows(spark, sf):
     """Null and empty texts go; a row without doc_id stays; of one doc_id with two texts one stays; a long text stays whole."""
     prose = "Words that stand here are many, more than twenty of them, so that this line is kept by the rules about length, as it should be, {}."
     long = " ".join(f"w{k}." for k in range(30_000))
-    rows = [(1, None, "en", "s", None), (2, "", "en", None, 0), (None, prose.format("with no id"), "en", "s", 1), (4, long, None, "s", 2), (5, prose.format("of a kind") + " Here are more.", "en", None, 3), (5, prose.format("twice") * 2 + " As it was.", "en", None, 4), (6, long, "en", "t", 5), (6, long, "en", "t", 5)]
+    rows = [(1, None, "en", "s", None), (2, "", "en", None, 0), (None, prose.format("with no id"), "en", "s", 1), (4, long, None, "s", 2), (5, prose.format("of a kind") + " Here are more.", "en", None, 3), (5, prose.format("in another form") + " As it was.", "en", None, 4), (6, long, "en", "t", 5), (6, long, "en", "t", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("key", F.lit(1))
     want = [Counter([None, 4, 5, 5, 6, 6]), Counter([None, 4, 5]), Counter([None, 4, 5])]
     d = docs
@@ -103,8 +103,11 @@ def test_odd_rows(spark, sf):
         if k < 3:
             assert got == want[k], P.STAGES[k][0]
             assert {r.doc_id: r.text for r in d.collect()}[4] == long
+        elif k == 3:  # copies of whole documents; one of which less than half is taken does not come
+            assert got and set(got) <= {None, 4, 5} and max(got.values()) <= 3
+            mixed = got
         else:
-            assert set(got) == {None, 4, 5}
+            assert got == mixed
     empty = docs.where("false")
     for k, (_, f) in enumerate(P.STAGES):
         empty = stash(f(spark, empty, sf), "odd")
