@@ -2,12 +2,14 @@
 
 import time
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tickloom.functions import kernels as K
 from tickloom.operators import backtest, evaluate, grid, indicators, select, walkforward
+from tickloom.plans import catalog
 from tickloom.sources import candles as C
 from tickloom.sources import klines
 from tickloom.sources.bundle import damaged, write_bundle
@@ -303,6 +305,20 @@ def test_signature_ignores_workers_and_sees_data(spark, bars):
     assert a != signature({"fee": 2}, bars) and a != signature({"fee": 1}, bars.where("idx < 100"))
 
 
+def test_signature_of_large_prices_is_that_of_the_sql(spark, tmp_path):
+    con = duckdb.connect()
+    # cents of walks whose closes round(x, 8) changes in the last bit
+    changed = [con.execute(f"SELECT i FROM range({a}, {a} + 2000) r(i) WHERE round(250000000 + i::DOUBLE / 100, 8) <> 250000000 + i::DOUBLE / 100").fetchall() for a in (-743_305_752_000, 16_908_310_000)]
+    assert all(changed)
+    for k, (first, last) in enumerate([(changed[0][0][0], changed[1][0][0]), (changed[1][-1][0], changed[0][-1][0]), (7, changed[0][0][0])]):
+        folder = tmp_path / str(k)
+        folder.mkdir()
+        rows = ", ".join(f"({i}, {int(x < 0)}, {abs(x)} / 100, TIMESTAMP '2001-01-01' + INTERVAL {i} DAY)" for i, x in enumerate([first, last - first]))
+        con.execute(f"COPY (SELECT i::BIGINT AS o_orderkey, c::BIGINT AS o_custkey, p::DOUBLE AS o_totalprice, t AS o_orderdate FROM (VALUES {rows}) v(i, c, p, t)) TO '{folder}/orders.parquet'")
+        con.execute(f"CREATE OR REPLACE VIEW orders AS FROM '{folder}/orders.parquet'")
+        assert catalog.QUERIES["run_signature"](spark, str(folder)).first()[0] == con.execute(catalog.ORACLE_SQL["run_signature"]).fetchone()[0]
+
+
 def test_store_resumes_and_purges(spark, tmp_path):
     root = f"file://{tmp_path}/store"
     s = Store(spark, root, "abc", {"fee": 1})

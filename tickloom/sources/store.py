@@ -12,16 +12,22 @@ import json
 import re
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VERSION = "1"
 
 
+def _eight_places(price: Column) -> Column:
+    """A price to eight places as SQL's round has it, in doubles: large prices, which decimals would leave alone, can change in their last bit."""
+    scaled = price * F.lit(1e8)
+    return F.when(F.abs(scaled) < float("inf"), F.round(scaled, 0) / F.lit(1e8)).otherwise(price)
+
+
 def signature(config: dict, candles: DataFrame) -> str:
     """16 hex digits that stand for a configuration (without ``workers``) and its candles: rows, ends and end prices of each
     series. Two aggregates and no order."""
-    rows = candles.groupBy("symbol", "tf").agg(F.count("*").alias("rows"), F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts"), F.round(F.min_by("close", "timestamp"), 8).alias("first_close"), F.round(F.max_by("close", "timestamp"), 8).alias("last_close")).orderBy("symbol", "tf").collect()
+    rows = candles.groupBy("symbol", "tf").agg(F.count("*").alias("rows"), F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts"), _eight_places(F.min_by("close", "timestamp")).alias("first_close"), _eight_places(F.max_by("close", "timestamp")).alias("last_close")).orderBy("symbol", "tf").collect()
     material = {"version": VERSION, "config": {k: v for k, v in config.items() if k != "workers"}, "data": [r.asDict() for r in rows]}
     return hashlib.sha256(json.dumps(material, sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:16]
 
