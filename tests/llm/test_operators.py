@@ -241,6 +241,14 @@ def test_weights_come_from_all_training_texts_in_any_order(spark, docs, monkeypa
     assert sorted(r.n for r in blocks.collect()) == sorted(want.values())
 
 
+def test_no_weight_comes_from_a_sample(docs, monkeypatch):
+    """The start is made of the counts of all neighbours of all training texts."""
+    seen, put = [], lm.started
+    monkeypatch.setattr(lm, "started", lambda n_ids, cells, n: (seen.append(int(n.sum())), put(n_ids, cells, n))[1])
+    rows = lm.score_texts(docs.limit(60)).collect()
+    assert seen == [sum(r.n_subwords for r in rows if not r.held_out)]
+
+
 # --- 2: personal data ---
 
 
