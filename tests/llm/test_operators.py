@@ -1,12 +1,16 @@
 """The corpus operators on small tables: brute force, round trips, and nulls, empties, long texts, ties, repeats, clashes."""
 
+import contextlib
 import hashlib
 import io
 import math
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -249,6 +253,45 @@ def test_no_weight_comes_from_a_sample(docs, monkeypatch):
     assert seen == [sum(r.n_subwords for r in rows if not r.held_out)]
 
 
+def test_idle_workers_give_memory_back():
+    """Numbers of words that a task has freed don't stay with its worker."""
+    code = """
+import numpy as np, pyarrow as pa
+from tickloom.llm import lm
+def held():
+    return int(next(x for x in open("/proc/self/status") if x.startswith("VmRSS")).split()[1]) / 1024
+def run(it):
+    kept = [np.ones(1000) for _ in range(20_000)]
+    last = np.ones(1000)
+    del kept
+    yield held()
+kernel = getattr(lm, "tidy", lambda f: f)(run)
+it = kernel(None)
+at, end = next(it), next(it, None)
+print(at - held() > 100 and end is None)
+"""
+    got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(lm.__file__).parents[2], timeout=100)
+    assert got.stdout.strip() == "True", got.stdout + got.stderr
+    assert lm._score(None, None, "").__qualname__.startswith("tidy") and lm._learn(None, "").__qualname__.startswith("tidy") and lm._count_pairs("").__qualname__.startswith("tidy")
+
+
+def test_words_are_counted_without_a_sort(spark, docs):
+    """Counts by state come from sums, not from lists that a sort of all rows collects; words of a block meet before they are summed."""
+
+    def plan(df):
+        out = io.StringIO()
+        with contextlib.redirect_stdout(out):
+            df.explain()
+        return out.getvalue()
+
+    seen, put = {}, lm.stash
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(lm, "stash", lambda df, name: (seen.setdefault(name, plan(df)), put(df, name))[1])
+        found = plan(lm.score_texts(docs.limit(30)))
+    assert "collect_list" not in seen["lm-counts"] and "SortAggregate" not in seen["lm-counts"]
+    assert re.search(r"hashpartitioning\(rid#\d+L?, block#\d+, \d+\), REPARTITION", found)
+
+
 # --- 2: personal data ---
 
 
